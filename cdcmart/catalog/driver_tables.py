@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cdcmart.functions.columns import query_shape
 from cdcmart.functions.derive import derive
 from cdcmart.operators.changelog import running_total
 from cdcmart.sources.envelope import encode_envelope
@@ -447,7 +448,7 @@ class DriverTables(Mapping[str, DataFrame]):
             "ts AS event_time",
             "CASE WHEN event_type = 'error' THEN 'ExceptionWhileProcessing' ELSE 'QueryFinish' END AS type",
             "concat('u', cast(user_id % 20 AS string)) AS user",
-            "concat('SELECT * FROM ', CASE WHEN k = 77 THEN 'system.parts' ELSE concat(event_type, '_log') END,"
+            "concat('SELECT * FROM ', CASE WHEN k = 77 THEN 'system.parts' ELSE concat(event_type, '_log_', cast(user_id % 8 AS string)) END,"
             " ' WHERE id = ', cast(event_id AS string), ' AND tag = ''k', cast(k AS string), '''') AS query",
             "cast(floor(value * 100) AS bigint) AS duration_ms",
             "cast(k AS bigint) * 10000000 AS memory",
@@ -461,7 +462,7 @@ class DriverTables(Mapping[str, DataFrame]):
         """Statement statistics of the source database, from the query log."""
         return (
             self.query_log()
-            .groupBy("query", "user")
+            .groupBy(query_shape(F.col("query")).alias("query"))
             .agg(
                 F.count(F.lit(1)).alias("calls"),
                 F.sum("duration_ms").cast("double").alias("total_exec_time"),

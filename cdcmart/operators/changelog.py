@@ -136,7 +136,8 @@ def running_last(
     position = F.struct(*order)
     ends = sliced.groupBy(*keys, "_slice").agg(
         *[
-            F.max_by(f"_in_{n}", position).filter(F.col(f"_in_{n}").isNotNull()).alias(f"_end_{n}")
+            # max_by passes over rows whose ordering is NULL.
+            F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), position)).alias(f"_end_{n}")
             for n in values
         ]
     )
