@@ -7,7 +7,7 @@ statuses, deletes and losses; every row of the given tables takes part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +41,27 @@ def _md5_long(text: str) -> str:
     return f"cast(conv(substr(md5({text}), 1, 15), 16, 10) AS bigint)"
 
 
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Use every core on an input that is one small file: a scan with fewer
+    splits than cores is dealt out by its first column. Larger inputs pass
+    through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, df.columns[0]) if splits < cores else df
+
+
 class DriverTables(Mapping[str, DataFrame]):
     """Change tables by name, each a lazy DataFrame over one given table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)
-        return derive(self.plain(name), name)
+        return self._once(f"table {name}", lambda: derive(self.plain(name), name))
 
     def __iter__(self) -> Iterator[str]:
         return iter(TABLES)
@@ -62,14 +72,26 @@ class DriverTables(Mapping[str, DataFrame]):
     def plain(self, name: str) -> DataFrame:
         """Change rows of a table without derived columns."""
         spec = TABLES[name]
-        return getattr(self, f"_{name}")().select(*spec.columns, "_version", "_is_deleted")
+        return self._once(
+            f"plain {name}",
+            lambda: getattr(self, f"_{name}")().select(*spec.columns, "_version", "_is_deleted"),
+        )
+
+    def _once(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """One logical plan per table, so that its exchanges can be reused."""
+        if key not in self._read:
+            self._read[key] = build()
+        return self._read[key]
 
     def wire(self, name: str) -> DataFrame:
         """The same rows as envelope messages."""
         return encode_envelope(self.plain(name), name)
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._once(
+            f"given {name}",
+            lambda: spread_small_scan(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")),
+        )
 
     # -- given tables with the attributes the rules below use ------------------
 

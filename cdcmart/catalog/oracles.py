@@ -758,14 +758,14 @@ def _metrics() -> dict[str, str]:
     ones = _increase(_counter("1"), six, hour)
     quiet = _increase(_counter("CASE WHEN event_type = 'error' THEN 1 ELSE 0 END"), six, hour)
     return {
-        "counter_rate": f"SELECT source, {_AT}, round(value / {six}, 4) AS value FROM ({_increase(_RECEIVED, six, hour)})",
-        "counter_increase": f"SELECT source, {_AT}, round(value, 4) AS value FROM ({_increase(_RECEIVED, six, hour)})",
+        "counter_rate": f"SELECT source, {_AT}, round(value / {six}, 8) AS value FROM ({_increase(_RECEIVED, six, hour)})",
+        "counter_increase": f"SELECT source, {_AT}, round(value, 8) AS value FROM ({_increase(_RECEIVED, six, hour)})",
         "ratio_of_rates": f"""SELECT a.source, make_timestamp(a.t) AS ts,
-            round((a.value / {day}) / nullif(b.value / {day}, 0) * 100.0::DOUBLE, 4) AS value
+            round((a.value / {day}) / nullif(b.value / {day}, 0) * 100.0::DOUBLE, 8) AS value
             FROM ({_increase(errors, day, hour)}) a JOIN ({_increase(_RECEIVED, day, hour)}) b
             ON a.source = b.source AND a.t = b.t""",
         "mean_latency": f"""SELECT a.source, make_timestamp(a.t) AS ts,
-            round((a.value / {six}) / nullif(b.value / {six}, 0), 4) AS value
+            round((a.value / {six}) / nullif(b.value / {six}, 0), 8) AS value
             FROM ({latency}) a JOIN ({ones}) b ON a.source = b.source AND a.t = b.t""",
         "histogram_quantile": """WITH c AS (SELECT 's' || (user_id % 8) AS source, date_trunc('hour', ts) AS ts, le,
                 count(*) AS n FROM ev, (SELECT unnest([5.0::DOUBLE, 10, 25, 50, 100, 200, 'Infinity'::DOUBLE]) AS le)
@@ -774,7 +774,7 @@ def _metrics() -> dict[str, str]:
                 0.95::DOUBLE * max(n) OVER (PARTITION BY source, ts) AS rank FROM c
                 WINDOW w AS (PARTITION BY source, ts ORDER BY le))
             SELECT source, ts, round(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0)
-                + (le - coalesce(low, 0)) * ((rank - below) / (n - below)) END, 4) AS value
+                + (le - coalesce(low, 0)) * ((rank - below) / (n - below)) END, 8) AS value
             FROM b WHERE n >= rank QUALIFY row_number() OVER (PARTITION BY source, ts ORDER BY le) = 1""",
         "sum_by_labels": """SELECT kind, ts, sum(value) AS value FROM (SELECT source, kind,
                 CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS ts,
@@ -786,7 +786,7 @@ def _metrics() -> dict[str, str]:
             WHERE source IN ('s0', 's1', 's2', 's3', 's4', 's5') AND kind NOT IN ('view', 'click') GROUP BY ALL""",
         "vector_match_ignoring": """SELECT ts, source, round(avail / 100000.0::DOUBLE * 100.0::DOUBLE, 4) AS value
             FROM gauges""",
-        "utilisation": """SELECT source, g AS ts, round((1 - arg_max(avail, ts) / 100000.0::DOUBLE) * 100, 4) AS value
+        "utilisation": """SELECT source, g AS ts, round((1 - arg_max(avail, ts) / 100000.0::DOUBLE) * 100, 8) AS value
             FROM (SELECT *, CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts)
                 + INTERVAL 1 HOUR END AS g FROM gauges) GROUP BY source, g""",
         "uptime": f"""SELECT source, CAST(epoch(TIMESTAMP '{D.EVENTS_AS_OF}') AS BIGINT)
@@ -823,12 +823,12 @@ def _querylog() -> dict[str, str]:
         "ql_volume_per_minute": f"""SELECT {minute}, {_count("type = 'QueryFinish'")} AS successful,
             {_count("type = 'ExceptionWhileProcessing'")} AS failed FROM q_scope GROUP BY ALL""",
         "ql_latency_percentiles": f"""SELECT {minute},
-            round_even(quantile_cont(duration_ms, 0.5), 0) AS p50_ms,
-            round_even(quantile_cont(duration_ms, 0.95), 0) AS p95_ms,
-            round_even(quantile_cont(duration_ms, 0.99), 0) AS p99_ms FROM q_done GROUP BY ALL""",
+            round_even(round(quantile_cont(duration_ms, 0.5), 6), 0) AS p50_ms,
+            round_even(round(quantile_cont(duration_ms, 0.95), 6), 0) AS p95_ms,
+            round_even(round(quantile_cont(duration_ms, 0.99), 6), 0) AS p99_ms FROM q_done GROUP BY ALL""",
         "ql_slowest_shapes": top(
             f"""{shape}, count(*) AS executions, {avg} AS avg_ms, max(duration_ms) AS max_ms,
-            round_even(quantile_cont(duration_ms, 0.95), 0) AS p95_ms, {_size('max(memory)')} AS peak_mem""",
+            round_even(round(quantile_cont(duration_ms, 0.95), 6), 0) AS p95_ms, {_size('max(memory)')} AS peak_mem""",
             "q_done", f"{avg} DESC"),
         "ql_memory_shapes": top(
             f"""{shape}, count(*) AS executions, {_size('sum(memory)')} AS total_mem,

@@ -333,14 +333,13 @@ register("backfill_daily_compliance")(_backfilled)
 
 @register("asof_status")
 def _(t):
-    history = changelog.dedup(t["protocol_instance_history"])
-    return asof.asof_states(history, "protocol_instance_id", ["status"], *ASOF_RANGE)
+    return asof.asof_states(t["protocol_instance_history"], "protocol_instance_id", ["status"], *ASOF_RANGE)
 
 
 @register("asof_step_state")
 def _(t):
-    history = changelog.dedup(t["step_instance_history"])
-    return asof.asof_states(history, "step_instance_id", ["state", "completion_status"], *ASOF_RANGE)
+    columns = ["state", "completion_status"]
+    return asof.asof_states(t["step_instance_history"], "step_instance_id", columns, *ASOF_RANGE)
 
 
 @register("asof_deviation_counts")
@@ -684,7 +683,7 @@ def _by_type(t: DriverTables) -> DataFrame:
 
 
 def _rounded(vector: DataFrame) -> DataFrame:
-    return vector.withColumn("value", F.round("value", 4))
+    return vector.withColumn("value", F.round("value", 8))
 
 
 @register("counter_rate")

@@ -36,7 +36,11 @@ def last_per_day(
     changed_at: str = "changed_at",
     arrival: str = "id",
 ) -> DataFrame:
-    """The last transition per entity and (folded) day, up to ``last``."""
+    """The last transition per entity and (folded) day, up to ``last``.
+
+    A redelivered transition equals its first copy, so the history needs no
+    deduplication before.
+    """
     within = history.where(F.to_date(changed_at) <= _date(last))
     return latest_by_version(
         within.withColumn(DAY, folded_day(F.col(changed_at), first)),
@@ -63,32 +67,23 @@ def asof_states(
 
 
 def cumulative_by_day(
-    deltas: DataFrame, dims: Sequence[str], measures: Sequence[str], first: date | str, last: date | str
+    deltas: DataFrame, dims: Sequence[str], measures: Sequence[str], last: date | str
 ) -> DataFrame:
-    """Daily differences -> running totals for every day of the range.
+    """Daily differences -> running totals for every day from the first
+    difference of each ``dims`` value to ``last``.
 
-    The window holds one row per day of the range and ``dims`` value, whatever
-    the size of the input, because the differences are summed first.
+    The differences are summed first, so the window holds at most one row per
+    day and ``dims`` value whatever the size of the input; days without a
+    difference repeat the totals before them.
     """
-    every_day = (
-        deltas.select(*dims)
-        .distinct()
-        .select(
-            *dims,
-            F.explode(F.sequence(_date(first), _date(last))).alias(DAY),
-            *[F.lit(0).cast("bigint").alias(m) for m in measures],
-        )
-    )
-    summed = (
-        deltas.select(*dims, DAY, *[F.col(m).cast("bigint").alias(m) for m in measures])
-        .unionByName(every_day)
-        .groupBy(*dims, DAY)
-        .agg(*[F.sum(m).alias(m) for m in measures])
-    )
-    so_far = (
-        Window.partitionBy(*dims).orderBy(DAY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = deltas.groupBy(*dims, DAY).agg(*[F.sum(m).cast("bigint").alias(m) for m in measures])
+    by_day = Window.partitionBy(*dims).orderBy(DAY)
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.coalesce(F.date_sub(F.lead(DAY).over(by_day), 1), _date(last))
+    running = summed.select(
+        *dims, DAY, until.alias("_until"), *[F.sum(m).over(so_far).alias(m) for m in measures]
     )
-    return summed.select(*dims, DAY, *[F.sum(m).over(so_far).alias(m) for m in measures])
+    return running.select(*dims, F.explode(F.sequence(DAY, "_until")).alias(DAY), *measures)
 
 
 def asof_event_counts(

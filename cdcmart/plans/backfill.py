@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cdcmart.operators.asof import DAY, cumulative_by_day, folded_day, last_per_day
-from cdcmart.operators.changelog import current, dedup
+from cdcmart.operators.changelog import current
 from cdcmart.plans.kpis import (
     DEVIATION_COUNTS,
     STATUS_COUNTS,
@@ -41,10 +41,10 @@ def backfill_daily_compliance(
     refreshed_at: datetime | str,
 ) -> DataFrame:
     """The compliance snapshot of every day from ``first`` to ``last``."""
-    enrolments = enrolment_days(tables, first, last)
-    started = enrolments.groupBy("protocol_instance_id", PROTOCOL).agg(F.min(DAY).alias("_start"))
+    known = known_enrolments(tables)
+    started = enrolment_starts(tables, known, first, last)
     deltas = [
-        enrolment_deltas(enrolments),
+        enrolment_deltas(enrolment_days(tables, known, first, last)),
         deviation_deltas(tables, started, first, last),
         step_deltas(tables, started, first, last),
     ]
@@ -56,7 +56,7 @@ def backfill_daily_compliance(
             *[(F.col(m) if m in part.columns else F.lit(0)).cast("bigint").alias(m) for m in MEASURES],
         )
         combined = padded if combined is None else combined.unionByName(padded)
-    daily = cumulative_by_day(combined, [PROTOCOL], MEASURES, first, last)
+    daily = cumulative_by_day(combined, [PROTOCOL], MEASURES, last)
     return with_compliance_rate(daily.where("total_enrollments > 0"), refreshed_at)
 
 
@@ -64,13 +64,26 @@ def _step(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)).cast("int")
 
 
-def enrolment_days(tables: Mapping[str, DataFrame], first, last) -> DataFrame:
-    """Last status per enrolment and day, with the protocol of the enrolment;
-    deleted enrolments drop out."""
-    history = dedup(tables["protocol_instance_history"])
-    known = current(tables, "protocol_instances").select(F.col("id").alias("protocol_instance_id"), PROTOCOL)
+def known_enrolments(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Enrolments that still exist, with their protocol; deleted ones drop out."""
+    return current(tables, "protocol_instances").select(F.col("id").alias("protocol_instance_id"), PROTOCOL)
+
+
+def enrolment_starts(tables: Mapping[str, DataFrame], known: DataFrame, first, last) -> DataFrame:
+    """The (folded) day each enrolment appears."""
+    history = tables["protocol_instance_history"].where(
+        F.to_date("changed_at") <= F.lit(str(last)).cast("date")
+    )
+    starts = history.groupBy("protocol_instance_id").agg(F.min("changed_at").alias("_earliest"))
+    return known.join(starts, "protocol_instance_id").select(
+        "protocol_instance_id", PROTOCOL, folded_day(F.col("_earliest"), first).alias("_start")
+    )
+
+
+def enrolment_days(tables: Mapping[str, DataFrame], known: DataFrame, first, last) -> DataFrame:
+    """Last status per enrolment and day, with the protocol of the enrolment."""
     return (
-        last_per_day(history, "protocol_instance_id", first, last)
+        last_per_day(tables["protocol_instance_history"], "protocol_instance_id", first, last)
         .select("protocol_instance_id", DAY, "status")
         .join(known, "protocol_instance_id")
     )
@@ -112,8 +125,7 @@ def deviation_deltas(tables: Mapping[str, DataFrame], started: DataFrame, first,
 
 
 def step_deltas(tables: Mapping[str, DataFrame], started: DataFrame, first, last) -> DataFrame:
-    history = dedup(tables["step_instance_history"])
-    states = last_per_day(history, "step_instance_id", first, last).select(
+    states = last_per_day(tables["step_instance_history"], "step_instance_id", first, last).select(
         "step_instance_id", F.col(DAY).alias("_day"), "state", "completion_status"
     )
     owned = (

@@ -79,14 +79,41 @@ def aggregate_drift(quality: DataFrame, volume: DataFrame, day: Column) -> DataF
     both = accepted.unionByName(hourly).agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")
     )
+    return _drift_of(both)
+
+
+def _drift_of(counts: DataFrame) -> DataFrame:
     apart = F.abs(F.col("a") - F.col("b")) > F.greatest(F.col("a"), F.lit(1)) * 0.01
-    return both.withColumn("drift", apart.cast("int"))
+    return counts.withColumn("drift", apart.cast("int"))
+
+
+def _today_counts(tables: Tables, today: Column, aggregates: Tables | None) -> DataFrame:
+    """One row: ``a`` accepted events of today by receipt, ``b`` by clinical time,
+    from the stored aggregates, or from the change rows they are kept over."""
+    if aggregates is not None:
+        return aggregate_drift(
+            aggregates["mv_ingestion_quality"], aggregates["mv_event_volume_hourly"], today
+        ).select("a", "b")
+    accepted = tables["inbound_event_logs"].where(F.col("status") == INBOUND_ACCEPTED)
+    return accepted.agg(
+        F.count_if(F.to_date("received_at") == today).alias("a"),
+        F.count_if(F.coalesce(F.to_date("event_time") == today, F.lit(False))).alias("b"),
+    )
+
+
+def _with_orphans(children: DataFrame, parent_key: str, parents: DataFrame) -> DataFrame:
+    """One row: the number of children and of those without a parent."""
+    known = parents.select(F.col("id").alias(parent_key), F.lit(True).alias("_known"))
+    return children.select(parent_key).join(known, parent_key, "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_known").isNull()).alias("orphans")
+    )
 
 
-def run_checks(tables: Tables, as_of: datetime | str) -> DataFrame:
+def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None = None) -> DataFrame:
     """All checks as one report: check, value, expected, passed.
 
-    Facts about one table come out of one pass over it.
+    Facts about one table come out of one pass over it. ``aggregates`` are the
+    stored insert-time aggregates to compare with each other.
     """
     moment = as_timestamp(as_of)
     today = F.to_date(moment)
@@ -110,13 +137,15 @@ def run_checks(tables: Tables, as_of: datetime | str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n"))
 
     steps, enrolments = current(tables, "step_instances"), current(tables, "protocol_instances")
+    # A key repeated in the last hour was received then, so older rows do not matter.
     changes_last_hour = repeated(
         tables["inbound_event_logs"].where(last_hour).select("cloudevents_id"), "cloudevents_id"
     )
     current_last_hour = repeated(inbound.where(last_hour).select("cloudevents_id"), "cloudevents_id")
-    quality = marts.build("mv_ingestion_quality", tables)
-    volume = marts.build("mv_event_volume_hourly", tables)
-    same_clock = _volume_by_receipt(tables)
+    counts = _today_counts(tables, today, aggregates)
+    same_clock = counts.select("a", F.col("a").alias("b"))
+    if aggregates is not None:
+        same_clock = _by_receipt(tables, aggregates["mv_ingestion_quality"], today)
 
     parts = [
         _report(
@@ -136,23 +165,20 @@ def run_checks(tables: Tables, as_of: datetime | str) -> DataFrame:
             _more_than_zero("protocol_definitions has rows", "n"),
         ),
         _report(count_of(enrolments), _more_than_zero("protocol_instances has rows", "n")),
-        _report(count_of(steps), _more_than_zero("step_instances has rows", "n")),
         _report(
-            count_of(orphans(steps.select("protocol_instance_id"), "protocol_instance_id", enrolments)),
-            _zero("step_instances: orphaned protocol_instance_id", "n"),
+            _with_orphans(steps, "protocol_instance_id", enrolments),
+            _more_than_zero("step_instances has rows", "n"),
+            _zero("step_instances: orphaned protocol_instance_id", "orphans"),
         ),
         _report(
-            count_of(
-                orphans(current(tables, "deviations").select("step_instance_id"), "step_instance_id", steps)
-            ),
-            _zero("deviations: orphaned step_instance_id", "n"),
+            _with_orphans(current(tables, "deviations"), "step_instance_id", steps),
+            _zero("deviations: orphaned step_instance_id", "orphans"),
         ),
         _report(
-            aggregate_drift(quality, volume, today),
-            _zero("ingestion quality vs event volume drift (today)", "drift"),
+            _drift_of(counts), _zero("ingestion quality vs event volume drift (today)", "drift")
         ),
         _report(
-            aggregate_drift(quality, same_clock, today),
+            _drift_of(same_clock),
             _zero("ingestion quality vs event volume drift (today, by receipt)", "drift"),
         ),
         _report(
@@ -170,14 +196,18 @@ def run_checks(tables: Tables, as_of: datetime | str) -> DataFrame:
     return report
 
 
-def _volume_by_receipt(tables: Tables) -> DataFrame:
-    """Accepted change rows per hour of receipt: the drift check on one clock."""
-    return (
+def _by_receipt(tables: Tables, quality: DataFrame, today: Column) -> DataFrame:
+    """The drift check on one clock: stored daily count against change rows."""
+    stored = quality.where((F.to_date("day") == today) & (F.col("status") == INBOUND_ACCEPTED)).select(
+        F.col("event_count").alias("a"), F.lit(0).cast("bigint").alias("b")
+    )
+    counted = (
         tables["inbound_event_logs"]
-        .where(F.col("status") == INBOUND_ACCEPTED)
-        .groupBy(F.date_trunc("HOUR", "received_at").alias("hour"))
-        .agg(F.count(F.lit(1)).alias("event_count"))
+        .where((F.to_date("received_at") == today) & (F.col("status") == INBOUND_ACCEPTED))
+        .agg(F.count(F.lit(1)).alias("b"))
+        .select(F.lit(0).cast("bigint").alias("a"), "b")
     )
+    return stored.unionByName(counted).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def contract_problems(tables: Tables) -> list[str]:

@@ -29,6 +29,12 @@ def failed(log: DataFrame) -> DataFrame:
     return in_scope(log).where(F.col("type") == QUERY_FAILED)
 
 
+def _whole(value):
+    """Rounded to a whole number; interpolation noise below a millionth is cut
+    first, so an exact half is still seen as one."""
+    return F.bround(F.round(value, 6), 0)
+
+
 def _mean_ms():
     return F.bround(F.avg("duration_ms"), 0).alias("avg_ms")
 
@@ -62,9 +68,9 @@ def ql_latency_percentiles(log: DataFrame) -> DataFrame:
         .agg(F.percentile("duration_ms", ranks).alias("_p"))
         .select(
             "time",
-            F.bround(F.col("_p")[0], 0).alias("p50_ms"),
-            F.bround(F.col("_p")[1], 0).alias("p95_ms"),
-            F.bround(F.col("_p")[2], 0).alias("p99_ms"),
+            _whole(F.col("_p")[0]).alias("p50_ms"),
+            _whole(F.col("_p")[1]).alias("p95_ms"),
+            _whole(F.col("_p")[2]).alias("p99_ms"),
         )
         .orderBy("time")
     )
@@ -83,7 +89,7 @@ def ql_slowest_shapes(log: DataFrame, top: int = 10) -> DataFrame:
             finished(log),
             _mean_ms(),
             F.max("duration_ms").alias("max_ms"),
-            F.bround(F.percentile("duration_ms", 0.95), 0).alias("p95_ms"),
+            _whole(F.percentile("duration_ms", 0.95)).alias("p95_ms"),
             F.max("memory").alias("_peak"),
         )
         .withColumn("peak_mem", readable_size(F.col("_peak")))

@@ -36,47 +36,46 @@ def _envelope_type(spec: TableSpec, exclude: tuple[str, ...]) -> T.StructType:
 
 
 def parse_envelope(df: DataFrame, table: str, value: str = "value", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Keep the transport columns and add ``_op``, ``_row``, ``_lsn`` and
-    ``_problem`` (NULL for a readable row change). No shuffle, one parse.
+    """Keep the transport columns and add ``_op``, the typed row ``_row``, its
+    ``_lsn`` and ``_problem`` (NULL for a readable row change).
 
+    No shuffle; each message is parsed once and each value converted once.
     Truncates and unknown operations are dropped; they carry no row.
     """
     spec = TABLES[table]
+    columns = {n: k for n, k in spec.columns.items() if n not in exclude}
     opened = C.evaluated_once(df, "_env", F.from_json(F.col(value), _envelope_type(spec, exclude)))
+    operation = F.col("_env.op")
+    image = F.when(operation == DELETE_OPERATION, F.col("_env.before")).otherwise(F.col("_env.after"))
+    rows = opened.where(operation.isNull() | operation.isin(*ROW_OPERATIONS)).select(
+        *df.columns, operation.alias("_op"), image.alias("_image"), F.col("_env.source.lsn").alias("_lsn")
+    )
+    typed = C.evaluated_once(
+        rows, "_row", F.struct(*[TO_TYPED[k](F.col(f"_image.{n}")).alias(n) for n, k in columns.items()])
+    )
     # An absent LSN counts as version 0, as an absent number does everywhere.
-    rows = opened.select(
-        *df.columns,
-        F.col("_env.op").alias("_op"),
-        F.when(F.col("_env.op") == DELETE_OPERATION, F.col("_env.before"))
-        .otherwise(F.col("_env.after"))
-        .alias("_row"),
-        F.coalesce(F.col("_env.source.lsn"), F.lit(0)).alias("_lsn"),
+    version = F.coalesce(F.col("_lsn"), F.lit(0)).try_cast("bigint")
+    return typed.select(
+        *df.columns, "_op", "_row", version.alias("_lsn"), _problem(columns, version).alias("_problem")
     )
-    readable = rows.where(F.col("_op").isNull() | F.col("_op").isin(*ROW_OPERATIONS))
-    return readable.withColumn("_problem", _problem(spec, exclude))
 
 
-def _problem(spec: TableSpec, exclude: tuple[str, ...]) -> Column:
+def _problem(columns: dict[str, str], version: Column) -> Column:
     found = F.when(F.col("_op").isNull(), F.lit("unreadable message")).when(
-        F.col("_row").isNull(), F.lit("no row image")
+        F.col("_image").isNull(), F.lit("no row image")
     )
-    for name, kind in spec.columns.items():
-        if kind == "uuid" and name not in exclude:
-            found = found.when(C.uuid_or_null(F.col(f"_row.{name}")).isNull(), F.lit(f"bad identifier: {name}"))
-    return found.when(F.col("_lsn").try_cast("bigint").isNull(), F.lit("version out of range"))
+    for name, kind in columns.items():
+        if kind == "uuid":
+            found = found.when(F.col(f"_row.{name}").isNull(), F.lit(f"bad identifier: {name}"))
+    return found.when(version.isNull(), F.lit("version out of range"))
 
 
 def typed_changes(parsed: DataFrame, table: str, keep: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """The readable rows of :func:`parse_envelope` with their declared types."""
-    spec = TABLES[table]
-    typed = [
-        TO_TYPED[kind](F.col(f"_row.{name}")).alias(name)
-        for name, kind in spec.columns.items()
-        if name not in exclude
-    ]
+    """The readable rows of :func:`parse_envelope` as change rows."""
+    names = [n for n in TABLES[table].columns if n not in exclude]
     return parsed.where(F.col("_problem").isNull()).select(
-        *typed,
-        F.col("_lsn").try_cast("bigint").alias("_version"),
+        *[F.col(f"_row.{n}").alias(n) for n in names],
+        F.col("_lsn").alias("_version"),
         (F.col("_op") == DELETE_OPERATION).alias("_is_deleted"),
         *keep,
     )
