@@ -754,6 +754,7 @@ def _dq(moment: str) -> str:
 def _metrics() -> dict[str, str]:
     six, hour, day = Q.SIX_HOURS, Q.HOUR, 4 * Q.SIX_HOURS
     errors = _counter(_CENTS, "event_type = 'error'", "source, event_type")
+    clicks = _counter(_CENTS, "event_type = 'click'", "source, event_type")
     latency = _increase(_RECEIVED, six, hour)
     ones = _increase(_counter("1"), six, hour)
     quiet = _increase(_counter("CASE WHEN event_type = 'error' THEN 1 ELSE 0 END"), six, hour)
@@ -789,6 +790,11 @@ def _metrics() -> dict[str, str]:
         "utilisation": """SELECT source, g AS ts, round((1 - arg_max(avail, ts) / 100000.0::DOUBLE) * 100, 8) AS value
             FROM (SELECT *, CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts)
                 + INTERVAL 1 HOUR END AS g FROM gauges) GROUP BY source, g""",
+        "cpu_utilisation": f"""SELECT {_AT}, round((1 - avg(value / {six})) * 100, 8) AS value
+            FROM ({_increase(_counter("(100 - k)"), six, hour)}) GROUP BY t""",
+        "sum_of_increases": f"""SELECT a.source, make_timestamp(a.t) AS ts, round(a.value + b.value, 8) AS value
+            FROM ({_increase(errors, day, hour)}) a JOIN ({_increase(clicks, day, hour)}) b
+            ON a.source = b.source AND a.t = b.t""",
         "uptime": f"""SELECT source, CAST(epoch(TIMESTAMP '{D.EVENTS_AS_OF}') AS BIGINT)
             - CAST(epoch(date_trunc('day', max(ts))) AS BIGINT) AS uptime_seconds FROM gauges GROUP BY ALL""",
         "target_down": "SELECT source, count(*) AS down_samples FROM gauges WHERE k = 13 GROUP BY ALL",

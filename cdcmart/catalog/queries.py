@@ -769,6 +769,22 @@ def _(t):
     return _rounded(metrics.utilisation(gauge("memory_avail_bytes"), gauge("memory_total_bytes"), ["source"]))
 
 
+@register("cpu_utilisation")
+def _(t):
+    idle = metrics.with_labels(t.counter_samples("cpu_idle", ("source",), "100 - k"), ["source"])
+    rates = metrics.counter_rate(idle, ["source"], SIX_HOURS, HOUR)
+    return _rounded(metrics.busy_share(rates))
+
+
+@register("sum_of_increases")
+def _(t):
+    def increase(kind):
+        one = metrics.with_labels(metrics.select_series(_by_type(t), "events_total", {"type": kind}), ["source"])
+        return metrics.counter_increase(one, ["source"], 4 * SIX_HOURS, HOUR)
+
+    return _rounded(metrics.add(increase("error"), increase("click"), ["source"]))
+
+
 @register("uptime")
 def _(t):
     boots = metrics.with_labels(metrics.select_series(t.gauge_samples(), "boot_time_seconds"), ["source"])

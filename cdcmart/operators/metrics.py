@@ -160,6 +160,22 @@ def sum_by(vector: DataFrame, labels: Sequence[str]) -> DataFrame:
     return vector.groupBy("ts", *labels).agg(F.sum("value").alias("value"))
 
 
+def avg_by(vector: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Mean over the other labels at each time."""
+    return vector.groupBy("ts", *labels).agg(F.avg("value").alias("value"))
+
+
+def add(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Sum of two vectors matched on labels and time."""
+    other = right.select("ts", *on, F.col("value").alias("_other"))
+    return left.join(other, ["ts", *on]).select("ts", *on, (F.col("value") + F.col("_other")).alias("value"))
+
+
+def busy_share(idle_rates: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """100 minus the mean idle share, in per cent, from per-second idle rates."""
+    return avg_by(idle_rates, labels).withColumn("value", (1 - F.col("value")) * 100)
+
+
 def divide_ignoring(
     samples_left: DataFrame, samples_right: DataFrame, ignored: Sequence[str], scale: float = 1.0
 ) -> DataFrame:

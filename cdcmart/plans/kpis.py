@@ -148,20 +148,36 @@ def with_compliance_rate(per_protocol: DataFrame, as_of: datetime | str) -> Data
     return completed.select(*COMPLIANCE_COLUMNS)
 
 
-def occurred_at() -> Column:
-    """When a deviation clinically happened, from its step."""
+def step_occurrence() -> Column:
+    """When a deviation clinically happened, as far as its step tells; NULL
+    leaves the moment it was detected."""
     by_type = (
         F.when(F.col("deviation_type") == "OVERDUE", F.col("overdue_date"))
         .when(F.col("deviation_type") == "MISSED", F.col("missed_date"))
         .when(F.col("deviation_type") == "ORDER_VIOLATION", F.col("completed_at"))
     )
-    return F.coalesce(by_type, F.col("due_date"), F.col("detected_at"))
+    return F.coalesce(by_type, F.col("due_date"))
 
 
 def deviation_occurrences(tables: Tables, as_of: datetime | str, window_months: int = KPI_WINDOW_MONTHS) -> DataFrame:
-    """Deviations with their clinical day, step, enrolment and facility."""
-    deviations = current(tables, "deviations").select(
-        "step_instance_id", "protocol_instance_id", "deviation_type", "detected_at"
+    """Deviations per enrolment, clinical day, step action and type, with the
+    enrolment's patient, protocol and facility, and their ``deviation_count``.
+
+    Both joins get counted rows: deviations of one step per day, then of one
+    enrolment per day. A step or enrolment with very many deviations crosses
+    them as a few rows.
+    """
+    earliest = months_before(as_of, window_months)
+    deviations = (
+        current(tables, "deviations")
+        .groupBy(
+            "step_instance_id",
+            "protocol_instance_id",
+            "deviation_type",
+            F.to_date("detected_at").alias("_detected_day"),
+            (F.col("detected_at") >= earliest).alias("_detected_within"),
+        )
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     steps = current(tables, "step_instances").select(
         F.col("id").alias("step_instance_id"),
@@ -171,6 +187,19 @@ def deviation_occurrences(tables: Tables, as_of: datetime | str, window_months:
         "missed_date",
         "completed_at",
     )
+    occurred = F.col("_occurred")
+    per_enrolment = (
+        deviations.join(steps, "step_instance_id")
+        .withColumn("_occurred", step_occurrence())
+        .where(F.when(occurred.isNotNull(), occurred >= earliest).otherwise(F.col("_detected_within")))
+        .groupBy(
+            "protocol_instance_id",
+            "action_id",
+            "deviation_type",
+            F.coalesce(F.to_date(occurred), F.col("_detected_day")).alias("snapshot_date"),
+        )
+        .agg(F.sum("_n").alias("deviation_count"))
+    )
     facility = patient_facility_latest(tables["inbound_event_logs"]).select("patient_id", "facility_id")
     enrolments = (
         current(tables, "protocol_instances")
@@ -183,14 +212,7 @@ def deviation_occurrences(tables: Tables, as_of: datetime | str, window_months:
         .join(facility, "patient_id", "left")
         .withColumn("facility_id", F.coalesce("facility_id", F.lit("")))
     )
-    placed = (
-        deviations.join(steps, "step_instance_id")
-        .withColumn("occurred_at", occurred_at())
-        .where(F.col("occurred_at") >= months_before(as_of, window_months))
-    )
-    return placed.join(enrolments, "protocol_instance_id").withColumn(
-        "snapshot_date", F.to_date("occurred_at")
-    )
+    return per_enrolment.join(enrolments, "protocol_instance_id")
 
 
 DEVIATION_DIMS = (
@@ -221,7 +243,7 @@ def mv_daily_deviation_kpis(
     return (
         deviation_occurrences(tables, as_of, window_months)
         .groupBy(*DEVIATION_DIMS)
-        .agg(F.count(F.lit(1)).alias("deviation_count"), patients)
+        .agg(F.sum("deviation_count").alias("deviation_count"), patients)
         .withColumn("refreshed_at", _stamp(as_of))
     )
 

@@ -102,10 +102,13 @@ def _today_counts(tables: Tables, today: Column, aggregates: Tables | None) -> D
 
 
 def _with_orphans(children: DataFrame, parent_key: str, parents: DataFrame) -> DataFrame:
-    """One row: the number of children and of those without a parent."""
+    """One row: the number of children and of those without a parent. Children
+    are counted per parent before the join."""
     known = parents.select(F.col("id").alias(parent_key), F.lit(True).alias("_known"))
-    return children.select(parent_key).join(known, parent_key, "left").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_known").isNull()).alias("orphans")
+    per_parent = children.groupBy(parent_key).agg(F.count(F.lit(1)).alias("_n"))
+    return per_parent.join(known, parent_key, "left").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).alias("orphans"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,25 +19,30 @@ from cdcmart.sources.schemas import TABLES
 BATCH_LOAD = -1
 
 
-def write_changelog(df: DataFrame, path: str, table: str, batch_id: int = BATCH_LOAD) -> None:
+def write_changelog(
+    df: DataFrame, path: str, table: str, batch_id: int = BATCH_LOAD, bloom_filters: Sequence[str] = ()
+) -> None:
     """Append change rows below ``month=.../batch_id=...``.
 
     Writing a batch again overwrites only its own partitions, so a replayed
     micro-batch leaves one copy. ``rebalance`` lets adaptive execution split a
     month that holds most of the rows and merge the small ones, and the sort
-    gives row groups narrow key ranges.
+    gives row groups narrow key ranges. ``bloom_filters`` names columns looked
+    up by equality (identifiers, status, subject, facility).
     """
     spec = TABLES[table]
     month = month_of(F.col(spec.month_column)).cast("int") if spec.month_column else F.lit(0)
     placed = df.withColumns({"month": month, "batch_id": F.lit(batch_id).cast("bigint")})
-    (
+    writer = (
         placed.hint("rebalance", "month")
         .sortWithinPartitions("month", *spec.keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month", "batch_id")
-        .parquet(path)
     )
+    for column in bloom_filters:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
 
 
 def write_partials(states: DataFrame, path: str, batch_id: int) -> None:

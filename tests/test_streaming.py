@@ -3,7 +3,6 @@ import random
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
 
 from cdcmart.operators.changelog import latest_by_version
 from cdcmart.plans import kpis, marts, rollups
@@ -66,9 +65,8 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, layout):
         assert spark.read.parquet(layout.dead("deviations")).count() == 1
 
     check()
-    first = spark.read.text(f"{folder}/*").where(F.lit(False))
-    batches = sorted(p for p in os.listdir(layout.partials("mv_deviation_trends")) if p.startswith("batch_id="))
-    assert len(batches) >= 3 and first.count() == 0
+    batches = [p for p in os.listdir(layout.partials("mv_deviation_trends")) if p.startswith("batch_id=")]
+    assert len(batches) >= 3
     # The same batch delivered again, under its own id.
     names = [f.path for f in spark.read.format("binaryFile").load(f"{folder}/*.txt").select("path").collect()]
     replay = Ingested(spark, layout, "again")
