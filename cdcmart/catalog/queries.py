@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import ChainMap
+from collections.abc import Callable, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,11 @@ def _presentable(df: DataFrame) -> DataFrame:
     )
 
 
+def _stored_columns_only(t: DriverTables) -> Mapping[str, DataFrame]:
+    """The tables for queries that read no derived column of the inbound log."""
+    return ChainMap({"inbound_event_logs": t.plain("inbound_event_logs")}, t)
+
+
 def _query(build: Callable[[DriverTables], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -364,7 +370,7 @@ def _(t):
 
 @register("retention_90d")
 def _(t):
-    kept = sinks.apply_retention(t["inbound_event_logs"], "received_at", "2024-04-10 12:00:00")
+    kept = sinks.apply_retention(t.plain("inbound_event_logs"), "received_at", "2024-04-10 12:00:00")
     return kept.groupBy(F.to_date("received_at").alias("day")).agg(F.count(F.lit(1)).alias("kept_rows"))
 
 
@@ -570,28 +576,28 @@ def _(t):
 
 @register("events_per_minute")
 def _(t):
-    return reports.events_per_minute(t, EVENTS_AS_OF, "1 DAY")
+    return reports.events_per_minute(_stored_columns_only(t), EVENTS_AS_OF, "1 DAY")
 
 
 @register("cdc_freshness_seconds")
 def _(t):
-    return reports.cdc_freshness_seconds(t, EVENTS_AS_OF)
+    return reports.cdc_freshness_seconds(_stored_columns_only(t), EVENTS_AS_OF)
 
 
 @register("e2e_latency_per_minute")
 def _(t):
-    report = reports.e2e_latency_per_minute(t, EVENTS_AS_OF, "1 DAY")
+    report = reports.e2e_latency_per_minute(_stored_columns_only(t), EVENTS_AS_OF, "1 DAY")
     return report.select("time", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @register("e2e_latency_p95_5min")
 def _(t):
-    return reports.e2e_latency_p95_5min(t, BUSY_MOMENT, "3 HOUR").select(F.round("p95", 6).alias("p95"))
+    return reports.e2e_latency_p95_5min(_stored_columns_only(t), BUSY_MOMENT, "3 HOUR").select(F.round("p95", 6).alias("p95"))
 
 
 @register("insert_stall")
 def _(t):
-    return reports.insert_stall(t, BUSY_MOMENT)
+    return reports.insert_stall(_stored_columns_only(t), BUSY_MOMENT)
 
 
 # -- dimensions -------------------------------------------------------------------
@@ -667,7 +673,7 @@ def _(t):
 
 @register("dq_report")
 def _(t):
-    return quality.run_checks(t, "2024-01-30 23:00:00")
+    return quality.run_checks(_stored_columns_only(t), "2024-01-30 23:00:00")
 
 
 # -- metric samples ---------------------------------------------------------------

@@ -79,25 +79,30 @@ def aggregate_drift(quality: DataFrame, volume: DataFrame, day: Column) -> DataF
     both = accepted.unionByName(hourly).agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")
     )
-    return _drift_of(both)
+    return both.withColumn("drift", _drift("a", "b"))
 
 
-def _drift_of(counts: DataFrame) -> DataFrame:
-    apart = F.abs(F.col("a") - F.col("b")) > F.greatest(F.col("a"), F.lit(1)) * 0.01
-    return counts.withColumn("drift", apart.cast("int"))
+def _drift(left: str, right: str) -> Column:
+    apart = F.abs(F.col(left) - F.col(right)) > F.greatest(F.col(left), F.lit(1)) * 0.01
+    return apart.cast("int")
 
 
 def _today_counts(tables: Tables, today: Column, aggregates: Tables | None) -> DataFrame:
-    """One row: ``a`` accepted events of today by receipt, ``b`` by clinical time,
-    from the stored aggregates, or from the change rows they are kept over."""
-    if aggregates is not None:
-        return aggregate_drift(
-            aggregates["mv_ingestion_quality"], aggregates["mv_event_volume_hourly"], today
-        ).select("a", "b")
+    """One row of today's accepted events: ``a`` by receipt and ``b`` by clinical
+    time, from the stored aggregates or else the change rows they are kept over,
+    and ``received`` by receipt from the change rows."""
     accepted = tables["inbound_event_logs"].where(F.col("status") == INBOUND_ACCEPTED)
-    return accepted.agg(
-        F.count_if(F.to_date("received_at") == today).alias("a"),
-        F.count_if(F.coalesce(F.to_date("event_time") == today, F.lit(False))).alias("b"),
+    received = F.count_if(F.to_date("received_at") == today)
+    occurred = F.count_if(F.coalesce(F.to_date("event_time") == today, F.lit(False)))
+    if aggregates is None:
+        return accepted.agg(received.alias("a"), occurred.alias("b"), received.alias("received"))
+    nothing = F.lit(0).cast("bigint")
+    stored = aggregate_drift(aggregates["mv_ingestion_quality"], aggregates["mv_event_volume_hourly"], today)
+    counted = accepted.agg(received.alias("received")).select(nothing.alias("a"), nothing.alias("b"), "received")
+    return (
+        stored.select("a", "b", nothing.alias("received"))
+        .unionByName(counted)
+        .agg(*[F.sum(c).alias(c) for c in ("a", "b", "received")])
     )
 
 
@@ -123,13 +128,17 @@ def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None
     inbound = current(tables, "inbound_event_logs")
     last_hour = F.col("received_at") >= moment - F.expr("INTERVAL 1 HOUR")
 
-    inbound_facts = inbound.agg(
+    per_event = inbound.groupBy("cloudevents_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("source") == "").alias("empty_source"),
         F.count_if(F.col("received_at") > moment + F.expr("INTERVAL 1 HOUR")).alias("future"),
-        F.when(F.max("received_at") >= moment - F.expr("INTERVAL 10 MINUTES"), "ok")
-        .otherwise("stale")
-        .alias("fresh"),
+        F.count_if(last_hour).alias("recent"),
+        F.max("received_at").alias("newest"),
+    )
+    inbound_facts = per_event.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "empty_source", "future")],
+        F.count_if(F.col("recent") > 1).alias("repeated"),
+        F.when(F.max("newest") >= moment - F.expr("INTERVAL 10 MINUTES"), "ok").otherwise("stale").alias("fresh"),
     )
     intelligence_facts = current(tables, "intelligence_event_logs").agg(
         F.count(F.lit(1)).alias("n"),
@@ -144,11 +153,7 @@ def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None
     changes_last_hour = repeated(
         tables["inbound_event_logs"].where(last_hour).select("cloudevents_id"), "cloudevents_id"
     )
-    current_last_hour = repeated(inbound.where(last_hour).select("cloudevents_id"), "cloudevents_id")
     counts = _today_counts(tables, today, aggregates)
-    same_clock = counts.select("a", F.col("a").alias("b"))
-    if aggregates is not None:
-        same_clock = _by_receipt(tables, aggregates["mv_ingestion_quality"], today)
 
     parts = [
         _report(
@@ -157,6 +162,7 @@ def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None
             _zero("inbound_event_logs: no empty source", "empty_source"),
             _zero("inbound_event_logs: no future received_at", "future"),
             _state("inbound_event_logs fresh (last 10min)", "fresh", "ok"),
+            _zero("inbound_event_logs: no duplicate cloudevents_id (last hour)", "repeated"),
         ),
         _report(
             intelligence_facts,
@@ -178,20 +184,14 @@ def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None
             _zero("deviations: orphaned step_instance_id", "orphans"),
         ),
         _report(
-            _drift_of(counts), _zero("ingestion quality vs event volume drift (today)", "drift")
-        ),
-        _report(
-            _drift_of(same_clock),
-            _zero("ingestion quality vs event volume drift (today, by receipt)", "drift"),
+            counts.select(_drift("a", "b").alias("drift"), _drift("a", "received").alias("same_clock")),
+            _zero("ingestion quality vs event volume drift (today)", "drift"),
+            _zero("ingestion quality vs event volume drift (today, by receipt)", "same_clock"),
         ),
         _report(
             count_of(changes_last_hour),
             _zero("inbound changes: no repeated cloudevents_id (last hour)", "n"),
         ),
-        _report(
-            count_of(current_last_hour),
-            _zero("inbound_event_logs: no duplicate cloudevents_id (last hour)", "n"),
-        ),
     ]
     report = parts[0]
     for part in parts[1:]:
@@ -199,20 +199,6 @@ def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None
     return report
 
 
-def _by_receipt(tables: Tables, quality: DataFrame, today: Column) -> DataFrame:
-    """The drift check on one clock: stored daily count against change rows."""
-    stored = quality.where((F.to_date("day") == today) & (F.col("status") == INBOUND_ACCEPTED)).select(
-        F.col("event_count").alias("a"), F.lit(0).cast("bigint").alias("b")
-    )
-    counted = (
-        tables["inbound_event_logs"]
-        .where((F.to_date("received_at") == today) & (F.col("status") == INBOUND_ACCEPTED))
-        .agg(F.count(F.lit(1)).alias("b"))
-        .select(F.lit(0).cast("bigint").alias("a"), "b")
-    )
-    return stored.unionByName(counted).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-
 def contract_problems(tables: Tables) -> list[str]:
     """Everything a deployment must provide, checked on schemas alone."""
     problems = []
