@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from cdcmart.catalog.driver_tables import ENROLMENT, EVENT, EVENTS_AS_OF, ORDERS_AS_OF, DriverTables, _id
 from cdcmart.fixed_values import UNAVAILABLE_VALUE
 from cdcmart.functions.columns import as_timestamp, millis_between
+from cdcmart.functions.derive import with_read_aliases
 from cdcmart.operators import asof, changelog, metrics
 from cdcmart.operators.lookup import lookup
 from cdcmart.plans import backfill, dimensions, kpis, marts, quality, querylog, reports, rollups
@@ -172,9 +173,8 @@ def _(t):
 
 @register("derive_inbound")
 def _(t):
-    return t["inbound_event_logs"].select(
-        "id", "_version", *TABLES["inbound_event_logs"].derived, F.col("subject").alias("patient_id")
-    )
+    read = with_read_aliases(t["inbound_event_logs"], "inbound_event_logs")
+    return read.select("id", "_version", *TABLES["inbound_event_logs"].derived, "patient_id")
 
 
 @register("derive_misc")

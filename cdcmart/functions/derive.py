@@ -93,9 +93,9 @@ def derive_receiver(df: DataFrame) -> DataFrame:
     return df.withColumn("endpoint_url", lenient_text(F.col("definition"), "$.address"))
 
 
-def with_read_aliases(df: DataFrame) -> DataFrame:
+def with_read_aliases(df: DataFrame, table: str) -> DataFrame:
     """Columns that exist only when a table is read."""
-    return df.withColumn("patient_id", F.col("subject")) if "subject" in df.columns else df
+    return df.withColumn("patient_id", F.col("subject")) if table == "inbound_event_logs" else df
 
 
 def canonical(url: Column, version: Column) -> Column:

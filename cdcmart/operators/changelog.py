@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cdcmart.fixed_values import UNAVAILABLE_VALUE
+from cdcmart.functions.derive import with_read_aliases
 
 VERSION = "_version"
 DELETED = "_is_deleted"
@@ -46,10 +47,7 @@ def current(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
 def register_current_views(tables: Mapping[str, DataFrame], suffix: str = "") -> None:
     """Temp views so that plain SQL always reads deduplicated rows."""
     for name, changes in tables.items():
-        view = latest_by_version(changes)
-        if "subject" in view.columns and name == "inbound_event_logs":
-            view = view.withColumn("patient_id", F.col("subject"))
-        view.createOrReplaceTempView(name + suffix)
+        with_read_aliases(latest_by_version(changes), name).createOrReplaceTempView(name + suffix)
 
 
 def dedup(df: DataFrame, key: str = "id") -> DataFrame:

@@ -89,9 +89,14 @@ def read_changelog(
 
     The month column of a table never changes for a key, so pruning by month
     before the newest version is picked cannot resurrect an old version. Rows
-    whose timestamp was unreadable sit in month 197001 and are always read.
+    whose timestamp was unreadable sit in month 197001 and are always read. The
+    schema is the declared one, so no file is opened to find it out, and a table
+    nothing was written to yet is empty.
     """
-    df = spark.read.parquet(path)
+    declared = f"{TABLES[table].stored_ddl()}, month int, batch_id bigint"
+    if not folder_exists(spark, path):
+        return spark.createDataFrame([], declared).drop("month", "batch_id")
+    df = spark.read.schema(declared).parquet(path)
     if TABLES[table].month_column:
         unreadable = F.col("month") == 197001
         if since:
@@ -101,6 +106,11 @@ def read_changelog(
     return df.drop("month", "batch_id")
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def date_series(spark: SparkSession, first: date | str, last: date | str) -> DataFrame:
     """One row per calendar day, both ends included."""
     return spark.range(1).select(
