@@ -72,10 +72,10 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     return both.drop("_second")
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, key: str, other: str, bits: int = 1 << 27) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not among ``keys``: a Bloom filter of one hash.
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, other: str, bits: int = 1 << 27, keep: bool = True) -> DataFrame:
+    """``rows`` whose ``key`` may be among ``keys`` by a Bloom filter of one hash, or the rest (``keep=False``).
 
-    It saves a join from shuffling rows that it would drop. Its 64-bit words are
+    It saves a join from shuffling rows that it would not change. Its 64-bit words are
     broadcast, at most ``bits / 64`` of them (2**21 rows of 16 bytes), whatever the input.
     """
     at = F.pmod(F.xxhash64(other), F.lit(bits))
@@ -83,7 +83,9 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str, other: str, bits: int =
     words = keys.groupBy(F.floor(at / 64).cast("long").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     placed = rows.withColumn("_word", F.floor(place / 64).cast("long"))
-    kept = placed.join(F.broadcast(checkpointed(words)), "_word").where(F.getbit("_bits", F.pmod(place, F.lit(64)).cast("int")) == 1)
+    found = F.getbit("_bits", F.pmod(place, F.lit(64)).cast("int")) == 1
+    words = F.broadcast(checkpointed(words))
+    kept = placed.join(words, "_word").where(found) if keep else placed.join(words, "_word", "left").where(~F.coalesce(found, F.lit(False)))
     return kept.select(*rows.columns)
 
 

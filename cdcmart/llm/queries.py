@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cdcmart.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
+from cdcmart.llm import exact_dedup, jaccard_join, mixing, packing, site_style_tree, suffix_dedup, syncmers, toxicity
 from cdcmart.llm.common import ship_package, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -26,18 +31,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.report(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_exact_dedup, op5_packing, op7_jaccard_join, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_site_style_tree, op4_exact_dedup, op5_packing, op6_syncmers, op7_jaccard_join, op9_suffix_dedup, op10_toxicity)
 }
 
 _SQL_MIXING = r"""
