@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cdcmart.llm import exact_dedup, jaccard_join, mixing, packing, site_style_tree, suffix_dedup, syncmers, toxicity
+from cdcmart.llm import exact_dedup, jaccard_join, license_scan, mixing, packing, site_style_tree, suffix_dedup, syncmers, template_lines, toxicity
 from cdcmart.llm.common import ship_package, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +23,10 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_lines.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source / language / a thousand ids / hundred ids."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    part = lambda size: F.floor(F.col("doc_id") / size).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), part(1000), part(100), F.col("doc_id").cast("string"))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
@@ -51,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_site_style_tree, op4_exact_dedup, op5_packing, op6_syncmers, op7_jaccard_join, op9_suffix_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_site_style_tree, op3_template_lines, op4_exact_dedup, op5_packing, op6_syncmers, op7_jaccard_join, op8_license_scan, op9_suffix_dedup, op10_toxicity)
 }
 
 _SQL_MIXING = r"""
