@@ -2,7 +2,9 @@
 Parquet tables by plain arithmetic, so that a second engine can derive the same.
 
 Business attributes (an event's ``k``, an order's priority, a line's tax) decide
-statuses, deletes and losses; every row of the given tables takes part.
+statuses, deletes and losses. Every row of a given table is read; which of them give
+rows of a change table is a rule of that table (returned lines are deviations, error
+events are intelligence).
 """
 
 from __future__ import annotations
@@ -41,15 +43,6 @@ def _md5_long(text: str) -> str:
     return f"cast(conv(substr(md5({text}), 1, 15), 16, 10) AS bigint)"
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Use every core on an input that is one small file: a scan with fewer
-    splits than cores is dealt out by its first column. Larger inputs pass
-    through."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, df.columns[0]) if splits < cores else df
-
-
 class DriverTables(Mapping[str, DataFrame]):
     """Change tables by name, each a lazy DataFrame over one given table."""
 
@@ -90,7 +83,7 @@ class DriverTables(Mapping[str, DataFrame]):
     def given(self, name: str) -> DataFrame:
         return self._once(
             f"given {name}",
-            lambda: spread_small_scan(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")),
+            lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"),
         )
 
     # -- given tables with the attributes the rules below use ------------------

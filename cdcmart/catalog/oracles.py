@@ -661,6 +661,13 @@ def _state_queries() -> dict[str, str]:
                 AND CAST(event_time AS DATE) = DATE '{Q.EVENT_DAY}') AS b)""",
         "stream_event_volume_hourly": marts["mv_event_volume_hourly"],
         "stream_deviation_by_protocol": marts["mv_deviation_by_protocol"],
+        "stream_rollup_protocol_instance": """SELECT protocol_definition_id, id, patient_id, protocol_canonical,
+            status, enrolled_at, false AS is_deleted FROM cur_enrolments""",
+        "stream_rollup_step": """SELECT protocol_instance_id, id, action_id, state, completion_status,
+            false AS is_deleted FROM cur_steps""",
+        "merged_partials": marts["mv_ingestion_quality"],
+        "merged_rollup": """SELECT id, destination, action_type, subject, status, attempt_count, created_at,
+            _is_deleted AS is_deleted FROM cur_deliveries""",
         "stream_rollup_delivery": """SELECT id, destination, action_type, subject, status, attempt_count, created_at,
             _is_deleted AS is_deleted FROM cur_deliveries""",
         "stream_patient_facility": "SELECT * FROM pat_fac",
@@ -669,7 +676,8 @@ def _state_queries() -> dict[str, str]:
         "snapshot_and_live": f"""SELECT status, count(*) AS enrollments FROM (
             SELECT * FROM (SELECT {_id(D.ENROLMENT, 'o_orderkey')} AS id, 'SNAPSHOT' AS status, 0 AS _version,
                 false AS _is_deleted FROM ord
-              UNION ALL SELECT id, status, _version, _is_deleted FROM enrolments WHERE status <> 'WITHDRAWN')
+              UNION ALL SELECT {_id(D.ENROLMENT, f'(o_orderkey + {Q.SNAPSHOT_ONLY})')}, 'SNAPSHOT', 0, false FROM ord
+              UNION ALL SELECT id, status, _version, _is_deleted FROM enrolments)
             QUALIFY row_number() OVER (PARTITION BY id ORDER BY _version DESC) = 1)
             WHERE NOT _is_deleted GROUP BY ALL""",
         "date_series": f"""SELECT snapshot_date, count(o_orderkey) AS orders
@@ -693,6 +701,8 @@ def _state_queries() -> dict[str, str]:
             CASE WHEN k < 50 THEN 's' ELSE '' END AS source, '' AS correlation_id, '' AS raw_payload, 'x' AS status,
             '' AS rejection_reason, '' AS error_details,
             CASE WHEN k < 30 THEN ts WHEN k < 60 THEN ts - INTERVAL 2 HOUR
+                WHEN k < 65 THEN date_trunc('millisecond', ts) WHEN k < 70 THEN ts
+                WHEN k < 73 THEN date_trunc('second', ts) WHEN k < 76 THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
                 ELSE TIMESTAMP '1970-01-01 00:00:00' END AS received_at,
             TIMESTAMP '1970-01-01 00:00:00' AS updated_at,
             CASE WHEN k < 70 THEN date_trunc('second', ts) END AS event_time,
@@ -700,6 +710,8 @@ def _state_queries() -> dict[str, str]:
         "cdc_dead_letters": """SELECT CASE k WHEN 2 THEN 'unreadable message' WHEN 3 THEN 'bad identifier: id'
             WHEN 5 THEN 'no row image' ELSE 'version out of range' END AS problem, count(*) AS messages
             FROM ev WHERE k IN (2, 3, 5, 6) GROUP BY ALL""",
+        "dq_drift_found": """SELECT 'marts agree on today''s accepted events' AS "check", '1' AS value, '0' AS expected,
+            false AS passed FROM inbound HAVING count(*) > 0""",
         "dq_report": _dq("TIMESTAMP '2024-01-30 23:00:00'"),
     }
 
@@ -724,24 +736,24 @@ def _dq(moment: str) -> str:
             (SELECT count(*) FROM inbound WHERE {today.format(clock)}) AS b))"""
 
     rows = [
-        positive("inbound_event_logs has rows", "cur_inbound"),
-        zero("inbound_event_logs: no empty source", "cur_inbound WHERE source = ''"),
-        zero("inbound_event_logs: no future received_at", f"cur_inbound WHERE received_at > {moment} + INTERVAL 1 HOUR"),
-        fresh("inbound_event_logs fresh (last 10min)", "cur_inbound", "received_at", "10 MINUTE"),
-        positive("intelligence_event_logs has rows", "cur_triggers"),
-        fresh("intelligence_event_logs fresh (last 1h)", "cur_triggers", "created_at", "1 HOUR"),
-        positive("protocol_definitions has rows", "cur_definitions"),
-        positive("protocol_instances has rows", "cur_enrolments"),
-        positive("step_instances has rows", "cur_steps"),
-        zero("step_instances: orphaned protocol_instance_id",
+        positive("rows present: inbound_event_logs", "cur_inbound"),
+        zero("inbound_event_logs: source never blank", "cur_inbound WHERE source = ''"),
+        zero("inbound_event_logs: received_at at most an hour ahead", f"cur_inbound WHERE received_at > {moment} + INTERVAL 1 HOUR"),
+        fresh("newest inbound_event_logs row within 10 minutes", "cur_inbound", "received_at", "10 MINUTE"),
+        positive("rows present: intelligence_event_logs", "cur_triggers"),
+        fresh("newest intelligence_event_logs row within an hour", "cur_triggers", "created_at", "1 HOUR"),
+        positive("rows present: protocol_definitions", "cur_definitions"),
+        positive("rows present: protocol_instances", "cur_enrolments"),
+        positive("rows present: step_instances", "cur_steps"),
+        zero("step_instances: every enrolment known",
              "cur_steps s WHERE NOT EXISTS (SELECT 1 FROM cur_enrolments e WHERE e.id = s.protocol_instance_id)"),
-        zero("deviations: orphaned step_instance_id",
+        zero("deviations: every step known",
              "cur_devs d WHERE NOT EXISTS (SELECT 1 FROM cur_steps s WHERE s.id = d.step_instance_id)"),
-        drift("ingestion quality vs event volume drift (today)", "event_time"),
-        drift("ingestion quality vs event volume drift (today, by receipt)", "received_at"),
-        zero("inbound changes: no repeated cloudevents_id (last hour)",
+        drift("marts agree on today''s accepted events", "event_time"),
+        drift("quality mart agrees with today''s changes by receipt", "received_at"),
+        zero("inbound changes: each event once in the last hour",
              f"(SELECT cloudevents_id FROM inbound WHERE {last_hour} GROUP BY 1 HAVING count(*) > 1)"),
-        zero("inbound_event_logs: no duplicate cloudevents_id (last hour)",
+        zero("inbound_event_logs: each event once in the last hour",
              f"(SELECT cloudevents_id FROM cur_inbound WHERE {last_hour} GROUP BY 1 HAVING count(*) > 1)"),
     ]
     return " UNION ALL ".join(

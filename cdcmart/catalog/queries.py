@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Callable, Mapping
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from cdcmart.streaming import ingest, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 
 EVENT_DAY = "2024-01-15"
+#: Added to the numbers of enrolments that only the snapshot has.
+SNAPSHOT_ONLY = 10_000_000_000
 EVENT_RANGE = ("2024-01-05", "2024-01-20")
 BACKFILL_RANGE = ("1998-01-01", "1998-02-28")
 ASOF_RANGE = ("1998-01-01", "1998-01-10")
@@ -104,6 +106,11 @@ def _odd_messages(t: DriverTables) -> DataFrame:
             ',"status":"x","extra":[1,2],"received_at":"',
             CASE WHEN k < 30 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
                  WHEN k < 60 THEN date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")
+                 WHEN k < 65 THEN cast(unix_millis(ts) AS string)
+                 WHEN k < 70 THEN cast(unix_micros(ts) AS string)
+                 WHEN k < 73 THEN cast(unix_seconds(ts) AS string)
+                 WHEN k < 76 THEN date_format(ts, 'yyyyMMdd')
+                 WHEN k < 78 THEN '99999999999999999999999'
                  WHEN k < 80 THEN 'garbage' ELSE '' END,
             '","event_time":"',
             CASE WHEN k < 70 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') WHEN k < 85 THEN 'garbage' ELSE '' END,
@@ -130,8 +137,9 @@ def _(t):
 @register("snapshot_and_live")
 def _(t):
     live = t["protocol_instances"]
-    first = t.orders().selectExpr(
-        f"{_id(ENROLMENT, 'o_orderkey')} AS id",
+    # every order's enrolment, which live rows supersede, and one more that only the snapshot has
+    first = t.orders().selectExpr("*", f"explode(array(o_orderkey, o_orderkey + {SNAPSHOT_ONLY})) AS _key").selectExpr(
+        f"{_id(ENROLMENT, '_key')} AS id",
         "concat('P', cast(o_custkey AS string)) AS patient_id",
         "cast(NULL AS string) AS protocol_canonical",
         f"{_id(3, 'o_custkey % 40')} AS protocol_definition_id",
@@ -141,7 +149,7 @@ def _(t):
         "ts AS updated_at",
     )
     snapshot = readers.snapshot_rows(first, "protocol_instances", version=0)
-    unified = snapshot.unionByName(live.where("status <> 'WITHDRAWN'"))
+    unified = snapshot.unionByName(live)
     return changelog.latest_by_version(unified).groupBy("status").agg(F.count(F.lit(1)).alias("enrollments"))
 
 
@@ -264,15 +272,41 @@ def _(t):
 
 @register("sum_merge")
 def _(t):
-    """Additive partials of one batch per event type, summed again."""
+    """Additive partials of three batches of identifiers, summed again."""
     mart = marts.MARTS["mv_ingestion_quality"]
     path = shared_folder(t.spark, "sum-merge")
-    rows = t["inbound_event_logs"]
-    for batch_id, status in enumerate(("ACCEPTED", "REJECTED", "DUPLICATE")):
-        sinks.write_partials(marts.partials(rows.where(F.col("status") == status), mart), path, batch_id)
+    for batch in range(3):
+        sinks.write_partials(marts.partials(_part_of(t["inbound_event_logs"], batch, 3), mart), path, batch)
     return changelog.sum_merge(sinks.read_partials(t.spark, path), mart.keys, mart.counts)
 
 
+def _part_of(rows: DataFrame, part: int, parts: int) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+
+
+@register("merged_partials")
+def _(t):
+    """Six batches, merged twice; a seventh arrives before and an eighth after the last merge."""
+    name = "mv_ingestion_quality"
+    mart, layout = marts.MARTS[name], ingest.Layout(shared_folder(t.spark, "merged"))
+    for batch in range(8):
+        sinks.write_partials(marts.partials(_part_of(t["inbound_event_logs"], batch, 8), mart), layout.partials(name), batch)
+        if batch in (5, 6):
+            ingest.merge_aggregate(t.spark, name, layout)
+    return ingest.read_aggregate(t.spark, name, layout)
+
+
+@register("merged_rollup")
+def _(t):
+    """Arg-max states of four batches, merged into one before they are read."""
+    name = "rollup_delivery_current"
+    layout = ingest.Layout(shared_folder(t.spark, "merged-rollup"))
+    for batch in range(4):
+        sinks.write_partials(rollups.rollup_partials(name, _part_of(t["intelligence_deliveries"], batch, 4)), layout.partials(name), batch)
+    ingest.merge_aggregate(t.spark, name, layout)
+    return ingest.read_aggregate(t.spark, name, layout)
+
+
 @register("state_merge")
 def _(t):
     """Count states merged over batches; the distinct sketch is within 5 per cent
@@ -386,11 +420,19 @@ def _(t):
 def _(t):
     path = shared_folder(t.spark, "compact")
     changes = t["intelligence_deliveries"]
-    sinks.write_changelog(changes.where("status = 'PENDING'"), path, "intelligence_deliveries", 1)
-    sinks.write_changelog(changes.where("status <> 'PENDING'"), path, "intelligence_deliveries", 2)
-    sinks.compact(t.spark, path, "intelligence_deliveries", 202401)
+    pending, others = changes.where("status = 'PENDING'"), changes.where("status <> 'PENDING'")
+
+    def store(rows: DataFrame, batch: str | None = None) -> None:
+        sinks.write_changelog(rows, path, "intelligence_deliveries", batch)
+
+    # one batch and one load before, one batch in mid-compaction, one load after it
+    store(_part_of(pending, 0, 2), "first")
+    store(_part_of(pending, 1, 2))
+    sinks.compact(t.spark, path, "intelligence_deliveries", 202401, before_delete=lambda: store(_part_of(others, 0, 2), "meanwhile"))
+    store(_part_of(others, 1, 2))
     stored = readers.read_changelog(t.spark, path, "intelligence_deliveries")
-    return stored.select("id", "status", "_version", "_is_deleted")
+    newest = changelog.latest_by_version(stored, deleted=None)
+    return newest.select("id", "status", "_version", "_is_deleted")
 
 
 @register("rebuild_aggregates")
@@ -428,6 +470,8 @@ def _register_streams() -> None:
     streamed = {
         "stream_event_volume_hourly": ("inbound_event_logs", "mv_event_volume_hourly"),
         "stream_deviation_by_protocol": ("deviations", "mv_deviation_by_protocol"),
+        "stream_rollup_protocol_instance": ("protocol_instances", "rollup_protocol_instance_current"),
+        "stream_rollup_step": ("step_instances", "rollup_step_current"),
         "stream_rollup_delivery": ("intelligence_deliveries", "rollup_delivery_current"),
         "stream_patient_facility": ("inbound_event_logs", "mv_patient_facility_latest"),
     }
@@ -455,18 +499,13 @@ def _(t):
     root = shared_folder(t.spark, "stream-dedup")
     t.wire("protocol_instance_history").repartition(4).write.text(f"{root}/messages")
     messages = readers.read_change_files(t.spark, f"{root}/messages", files_per_batch=2)
-    rows = ingest.dedup_stream(
-        decode_envelope(messages, "protocol_instance_history"), "id", "changed_at", "3650 days"
-    )
-    query = (
-        rows.writeStream.format("parquet")
-        .option("path", f"{root}/rows")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    query = ingest.start_dedup(
+        decode_envelope(messages, "protocol_instance_history"), "protocol_instance_history", "changed_at",
+        timedelta(days=30), f"{root}/rows", f"{root}/checkpoint", {"availableNow": True},
     )
     query.awaitTermination()
-    return t.spark.read.parquet(f"{root}/rows").select("id", "protocol_instance_id", "status", "changed_at")
+    stored = readers.read_changelog(t.spark, f"{root}/rows", "protocol_instance_history")
+    return stored.select("id", "protocol_instance_id", "status", "changed_at")
 
 
 # -- reports ----------------------------------------------------------------------
@@ -673,7 +712,20 @@ def _(t):
 
 @register("dq_report")
 def _(t):
-    return quality.run_checks(_stored_columns_only(t), "2024-01-30 23:00:00")
+    return quality.run_checks(_stored_columns_only(t), "2024-01-30 23:00:00", _compared_marts(t))
+
+
+def _compared_marts(t: DriverTables) -> dict[str, DataFrame]:
+    return {name: marts.build(name, t) for name in ("mv_ingestion_quality", "mv_event_volume_hourly")}
+
+
+@register("dq_drift_found")
+def _(t):
+    """The report over marts of which one has lost half of its counts."""
+    stored = _compared_marts(t)
+    stored["mv_event_volume_hourly"] = stored["mv_event_volume_hourly"].withColumn("event_count", F.floor(F.col("event_count") / 2))
+    report = quality.run_checks(_stored_columns_only(t), f"{EVENT_DAY} 23:00:00", stored)
+    return report.where(F.col("check").startswith("marts agree"))
 
 
 # -- metric samples ---------------------------------------------------------------

@@ -31,11 +31,24 @@ def uuid_or_null(value: Column) -> Column:
 
 
 def timestamp_or_null(value: Column) -> Column:
-    """ISO-8601 text (offsets honoured), or plain epoch seconds; else NULL."""
-    return F.coalesce(
-        F.try_to_timestamp(value),
-        F.timestamp_seconds(value.try_cast("bigint")),
+    """ISO-8601 text (offsets honoured), a plain date of eight digits, or a number of
+    seconds, milli- or microseconds since the epoch, told apart by its digits; else NULL.
+
+    Up to 11 digits are seconds (until the year 5138), 12 to 14 milliseconds, 15 to
+    17 microseconds, which keeps each in the range of a timestamp.
+    """
+    text = F.trim(value)
+    number = text.try_cast("bigint")
+    digits = F.length(F.regexp_replace(text, "^[-+]", ""))
+    plain = text.rlike("^[-+]?[0-9]{1,17}$")
+    moment = (
+        F.when(~plain, F.try_to_timestamp(text))
+        .when(text.rlike("^(19|20)[0-9]{6}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        .when(digits <= 11, F.timestamp_seconds(number))
+        .when(digits <= 14, F.timestamp_millis(number))
+        .otherwise(F.timestamp_micros(number))
     )
+    return moment
 
 
 def timestamp_or_epoch(value: Column) -> Column:

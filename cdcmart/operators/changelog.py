@@ -94,6 +94,33 @@ def argmax_merge(partials: DataFrame, keys: Sequence[str], drop_deleted: bool =
     return flat
 
 
+def argmax_combine(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fewer arg-max states of the same meaning, one per key."""
+    apart = [c for c in partials.columns if c.startswith("state_") and c != "state_version"]
+    merged = partials.groupBy(*keys).agg(
+        F.max_by("state", "state_version").alias("state"),
+        F.max("state_version").alias("state_version"),
+        *[F.max_by(c, F.col(f"{c}.v")).alias(c) for c in apart],
+    )
+    return merged.select(*partials.columns)
+
+
+def state_combine(
+    partials: DataFrame,
+    dims: Sequence[str],
+    counts: Sequence[str] = (),
+    sketches: Sequence[str] = (),
+    anys: Sequence[str] = (),
+) -> DataFrame:
+    """Fewer count states, distinct sketches and any-value states of the same meaning."""
+    merged = partials.groupBy(*dims).agg(
+        *[F.sum(c).alias(c) for c in counts],
+        *[F.hll_union_agg(c).alias(c) for c in sketches],
+        *[F.min(c).alias(c) for c in anys],
+    )
+    return merged.select(*partials.columns)
+
+
 def sum_merge(partials: DataFrame, dims: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Re-sum additive partial counts."""
     return partials.groupBy(*dims).agg(*[F.sum(m).alias(m) for m in measures])
@@ -121,7 +148,8 @@ def running_last(
 
     ``slice_by`` must not decrease along ``order``; it cuts a long key into
     slices that run as separate groups, and one summary row per (key, slice)
-    carries the value over the cuts. No task ever holds a whole hot key.
+    carries the value over the cuts. No task holds more of a hot key than a slice,
+    so choose slices that bound it. Keys must not be NULL.
     """
     sliced = df.withColumns({"_slice": slice_by, **{f"_in_{n}": e for n, e in values.items()}})
     here = (
@@ -147,9 +175,11 @@ def running_last(
         F.col("_slice").alias("_k_slice"),
         *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}") for n in values],
     )
+    # Plain equality keeps the partitioning of the window; a NULL-safe one would
+    # shuffle the whole table again. Keys are required identifiers.
     same = F.col("_slice") == F.col("_k_slice")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
     joined = within.join(carried, same, "left")
     return joined.select(
         *[c for c in df.columns if c not in values],
@@ -178,9 +208,11 @@ def running_total(
             *[F.coalesce(F.sum(f"_end_{n}").over(before), F.lit(0)).alias(f"_carry_{n}") for n in values],
         )
     )
+    # Plain equality keeps the partitioning of the window; a NULL-safe one would
+    # shuffle the whole table again. Keys are required identifiers.
     same = F.col("_slice") == F.col("_k_slice")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
     return within.join(carried, same, "left").select(
         *[c for c in df.columns if c not in values],
         *[(F.col(f"_here_{n}") + F.col(f"_carry_{n}")).alias(n) for n in values],

@@ -158,39 +158,39 @@ def run_checks(tables: Tables, as_of: datetime | str, aggregates: Tables | None
     parts = [
         _report(
             inbound_facts,
-            _more_than_zero("inbound_event_logs has rows", "n"),
-            _zero("inbound_event_logs: no empty source", "empty_source"),
-            _zero("inbound_event_logs: no future received_at", "future"),
-            _state("inbound_event_logs fresh (last 10min)", "fresh", "ok"),
-            _zero("inbound_event_logs: no duplicate cloudevents_id (last hour)", "repeated"),
+            _more_than_zero("rows present: inbound_event_logs", "n"),
+            _zero("inbound_event_logs: source never blank", "empty_source"),
+            _zero("inbound_event_logs: received_at at most an hour ahead", "future"),
+            _state("newest inbound_event_logs row within 10 minutes", "fresh", "ok"),
+            _zero("inbound_event_logs: each event once in the last hour", "repeated"),
         ),
         _report(
             intelligence_facts,
-            _more_than_zero("intelligence_event_logs has rows", "n"),
-            _state("intelligence_event_logs fresh (last 1h)", "fresh", "ok"),
+            _more_than_zero("rows present: intelligence_event_logs", "n"),
+            _state("newest intelligence_event_logs row within an hour", "fresh", "ok"),
         ),
         _report(
             count_of(current(tables, "protocol_definitions")),
-            _more_than_zero("protocol_definitions has rows", "n"),
+            _more_than_zero("rows present: protocol_definitions", "n"),
         ),
-        _report(count_of(enrolments), _more_than_zero("protocol_instances has rows", "n")),
+        _report(count_of(enrolments), _more_than_zero("rows present: protocol_instances", "n")),
         _report(
             _with_orphans(steps, "protocol_instance_id", enrolments),
-            _more_than_zero("step_instances has rows", "n"),
-            _zero("step_instances: orphaned protocol_instance_id", "orphans"),
+            _more_than_zero("rows present: step_instances", "n"),
+            _zero("step_instances: every enrolment known", "orphans"),
         ),
         _report(
             _with_orphans(current(tables, "deviations"), "step_instance_id", steps),
-            _zero("deviations: orphaned step_instance_id", "orphans"),
+            _zero("deviations: every step known", "orphans"),
         ),
         _report(
             counts.select(_drift("a", "b").alias("drift"), _drift("a", "received").alias("same_clock")),
-            _zero("ingestion quality vs event volume drift (today)", "drift"),
-            _zero("ingestion quality vs event volume drift (today, by receipt)", "same_clock"),
+            _zero("marts agree on today's accepted events", "drift"),
+            _zero("quality mart agrees with today's changes by receipt", "same_clock"),
         ),
         _report(
             count_of(changes_last_hour),
-            _zero("inbound changes: no repeated cloudevents_id (last hour)", "n"),
+            _zero("inbound changes: each event once in the last hour", "n"),
         ),
     ]
     report = parts[0]

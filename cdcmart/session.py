@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,13 +33,16 @@ def build_session(app: str = "cdcmart", master: str | None = None, **settings: s
     return configure(builder.getOrCreate())
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the checkpoint directory the cluster names.
+def shared_folder(spark: SparkSession, purpose: str, base: str | None = None) -> str:
+    """A fresh folder that driver and executors share.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) does it fall
-    back to a local temporary folder.
+    Below ``base`` or the checkpoint directory the cluster names
+    (``spark.checkpoint.dir``), else below the warehouse. A warehouse on the
+    machine's own disk is refused unless the session itself is local.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="cdcmart-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/cdcmart/{purpose}-{uuid.uuid4().hex}"

@@ -93,7 +93,7 @@ def read_changelog(
     schema is the declared one, so no file is opened to find it out, and a table
     nothing was written to yet is empty.
     """
-    declared = f"{TABLES[table].stored_ddl()}, month int, batch_id bigint"
+    declared = f"{TABLES[table].stored_ddl()}, month int, batch_id string"
     if not folder_exists(spark, path):
         return spark.createDataFrame([], declared).drop("month", "batch_id")
     df = spark.read.schema(declared).parquet(path)

@@ -1,25 +1,28 @@
 """Structured Streaming wiring: messages -> changelog, dead letters, aggregates.
 
-Every micro-batch writes below its own ``batch_id`` and overwrites it on a
-replay, so at-least-once delivery of a batch still counts each change once. No
+Every micro-batch writes below a name of its own, the run of its checkpoint and its
+number, and overwrites it on a replay, so at-least-once delivery of a batch still
+counts each change once; a new checkpoint starts a new run and overwrites nothing. No
 watermark is needed: late rows add to the bucket of their own time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cdcmart.fixed_values import EPOCH
 from cdcmart.functions.derive import derive
-from cdcmart.operators.changelog import latest_by_version, state_merge
+from cdcmart.operators.changelog import argmax_combine, dedup, latest_by_version, state_combine, state_merge
 from cdcmart.plans import marts, rollups
 from cdcmart.sources.envelope import dead_letters, parse_envelope, typed_changes
-from cdcmart.sources.readers import read_changelog
+from cdcmart.sources.readers import folder_exists, read_changelog
 from cdcmart.streaming import sinks
 
 BY_PATIENT = "mv_deviation_by_patient"
@@ -92,19 +95,46 @@ def read_aggregate(spark: SparkSession, name: str, layout: Layout) -> DataFrame:
     return marts.merge(states, marts.MARTS[name])
 
 
-def process_batch(batch: DataFrame, batch_id: int, ingest: Ingest, layout: Layout) -> None:
+def merge_aggregate(spark: SparkSession, name: str, layout: Layout) -> list[str]:
+    """Put the states of all batches written so far into one; batches that arrive meanwhile stay."""
+
+    def merge(states: DataFrame) -> DataFrame:
+        if name in rollups.ROLLUPS:
+            return argmax_combine(states, rollups.ROLLUPS[name][1])
+        if name == PATIENT_FACILITY:
+            return marts.newest_facility(states)
+        if name == BY_PATIENT:
+            return state_combine(states, ["day", "patient_id", "deviation_type"], ["deviation_count"], ["unique_protocols"])
+        mart = marts.MARTS[name]
+        return state_combine(states, mart.keys, mart.counts, [n for n, _ in mart.distinct], [n for n, _ in mart.anys])
+
+    return sinks.merge_partials(spark, layout.partials(name), merge)
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives in the checkpoint folder: batch numbers are unique within it."""
+    path = f"{checkpoint}/cdcmart_run"
+    if not folder_exists(spark, path):
+        spark.range(1).select(F.lit(uuid.uuid4().hex[:12]).alias("run")).coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
+
+
+def process_batch(batch: DataFrame, batch_id: int, ingest: Ingest, layout: Layout, run: str = "run") -> None:
     """Everything one micro-batch of messages leads to."""
     spark = batch.sparkSession
+    name_of_batch = f"{run}-{batch_id}"
     parsed = parse_envelope(batch, ingest.table).persist()
+    # Kept as well: the changelog and each aggregate need the same parsed bodies.
+    changes = derive(typed_changes(parsed, ingest.table), ingest.table).persist()
     try:
-        sinks.write_partials(dead_letters(parsed), layout.dead(ingest.table), batch_id)
-        changes = derive(typed_changes(parsed, ingest.table), ingest.table)
-        sinks.write_changelog(changes, layout.changelog(ingest.table), ingest.table, batch_id)
+        sinks.write_partials(dead_letters(parsed), layout.dead(ingest.table), name_of_batch)
+        sinks.write_changelog(changes, layout.changelog(ingest.table), ingest.table, name_of_batch)
         for name in ingest.aggregates:
             sinks.write_partials(
-                batch_states(spark, name, changes, layout), layout.partials(name), batch_id
+                batch_states(spark, name, changes, layout), layout.partials(name), name_of_batch
             )
     finally:
+        changes.unpersist()
         parsed.unpersist()
 
 
@@ -112,18 +142,51 @@ def start_ingest(
     messages: DataFrame, ingest: Ingest, layout: Layout, trigger: dict | None = None
 ) -> StreamingQuery:
     """One streaming query per table, with its own checkpoint."""
+    run = run_of(messages.sparkSession, layout.checkpoint(ingest.table))
     return (
         messages.writeStream.queryName(f"ingest_{ingest.table}_{abs(hash(layout.root))}")
         .option("checkpointLocation", layout.checkpoint(ingest.table))
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, ingest, layout))
+        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, ingest, layout, run))
         .start()
     )
 
 
-def dedup_stream(changes: DataFrame, key: str, event_time: str, look_back: str) -> DataFrame:
-    """Drop redelivered rows of an append-only log within a look-back."""
-    return changes.withWatermark(event_time, look_back).dropDuplicatesWithinWatermark([key])
+def append_unseen(
+    rows: DataFrame, batch: str, path: str, table: str, event_time: str, look_back: timedelta, key: str = "id"
+) -> None:
+    """Store the rows of a batch whose key the look-back does not hold yet.
+
+    Compared are the months from the batch's earliest event time less ``look_back``
+    on, and the month of unreadable times. A late or unreadable row is late for
+    nothing: it is stored like any other.
+    """
+    spark = rows.sparkSession
+    fresh = dedup(rows, key)
+    readable = F.when(F.col(event_time) > F.lit(EPOCH).cast("timestamp"), F.col(event_time))
+    earliest = fresh.agg(F.min(readable)).first()[0]
+    since = (earliest - look_back).date() if earliest else None
+    stored = read_changelog(spark, path, table, since=since).select(key)
+    sinks.write_changelog(fresh.join(stored, key, "left_anti"), path, table, batch)
+
+
+def start_dedup(
+    changes: DataFrame,
+    table: str,
+    event_time: str,
+    look_back: timedelta,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """An append-only log without redelivered rows, as a stored changelog."""
+    run = run_of(changes.sparkSession, checkpoint)
+    return (
+        changes.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .foreachBatch(lambda df, n: append_unseen(df, f"{run}-{n}", path, table, event_time, look_back))
+        .start()
+    )
 
 
 def refresh_once(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timedelta
 
@@ -12,27 +13,53 @@ from pyspark.sql import functions as F
 from cdcmart.fixed_values import LOG_RETENTION_DAYS, RETAINED_TABLES
 from cdcmart.functions.columns import as_timestamp, month_of
 from cdcmart.operators.changelog import latest_by_version
-from cdcmart.session import shared_folder
-from cdcmart.sources.readers import read_changelog
+from cdcmart.sources.readers import folder_exists, read_changelog
 from cdcmart.sources.schemas import TABLES
 
-BATCH_LOAD = -1
+BACKFILL = "backfill"
+MERGED = "merged-"
+_MERGES = "_merges"
+
+
+def new_batch(kind: str) -> str:
+    """A batch name nobody else uses, in order of time."""
+    return f"{kind}-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def batches_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the batches below a folder, at this moment."""
+    return [n.removeprefix("batch_id=") for n in _children(spark, path) if n.startswith("batch_id=")]
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    if not folder_exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in files.listStatus(folder))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_changelog(
-    df: DataFrame, path: str, table: str, batch_id: int = BATCH_LOAD, bloom_filters: Sequence[str] = ()
+    df: DataFrame, path: str, table: str, batch_id: int | str | None = None, bloom_filters: Sequence[str] = ()
 ) -> None:
     """Append change rows below ``month=.../batch_id=...``.
 
     Writing a batch again overwrites only its own partitions, so a replayed
-    micro-batch leaves one copy. ``rebalance`` lets adaptive execution split a
-    month that holds most of the rows and merge the small ones, and the sort
+    micro-batch leaves one copy; without ``batch_id`` each call is a load under a
+    new name, which nothing overwrites. ``rebalance`` lets adaptive execution split
+    a month that holds most of the rows and merge the small ones, and the sort
     gives row groups narrow key ranges. ``bloom_filters`` names columns looked
     up by equality (identifiers, status, subject, facility).
     """
+    batch = new_batch("load") if batch_id is None else str(batch_id)
     spec = TABLES[table]
     month = month_of(F.col(spec.month_column)).cast("int") if spec.month_column else F.lit(0)
-    placed = df.withColumns({"month": month, "batch_id": F.lit(batch_id).cast("bigint")})
+    placed = df.withColumns({"month": month, "batch_id": F.lit(batch)})
     writer = (
         placed.hint("rebalance", "month")
         .sortWithinPartitions("month", *spec.keys)
@@ -45,10 +72,10 @@ def write_changelog(
     writer.parquet(path)
 
 
-def write_partials(states: DataFrame, path: str, batch_id: int) -> None:
+def write_partials(states: DataFrame, path: str, batch_id: int | str) -> None:
     """Partial aggregate states of one micro-batch, replaced on replay."""
     (
-        states.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        states.withColumn("batch_id", F.lit(str(batch_id)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
@@ -56,8 +83,53 @@ def write_partials(states: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+def read_partials(spark: SparkSession, path: str, declared: str | None = None) -> DataFrame:
+    """Every state once: what a merge has replaced is left out, and a merge that
+    has not been entered in the log does not count yet.
+
+    With the ``declared`` columns no file is opened to find them out, and a folder
+    nothing was written to is empty.
+    """
+    if declared and not folder_exists(spark, path):
+        return spark.createDataFrame([], declared)
+    reader = spark.read.schema(f"{declared}, batch_id string") if declared else spark.read
+    states = reader.parquet(path).withColumn("batch_id", F.col("batch_id").cast("string"))
+    merges = _merge_log(spark, path)
+    done = merges.select(F.col("merged").alias("batch_id")).distinct()
+    gone = merges.select(F.col("replaced").alias("batch_id")).distinct()
+    single = states.where(~F.col("batch_id").startswith(MERGED))
+    merged = states.where(F.col("batch_id").startswith(MERGED)).join(done, "batch_id", "left_semi")
+    return single.unionByName(merged).join(gone, "batch_id", "left_anti").drop("batch_id")
+
+
+def _merge_log(spark: SparkSession, path: str) -> DataFrame:
+    declared = "merged string, replaced string"
+    log = f"{path}/{_MERGES}"
+    return spark.read.schema(declared).parquet(log) if folder_exists(spark, log) else spark.createDataFrame([], declared)
+
+
+def merge_partials(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Put the states of all batches of this moment into one batch; returns what it replaces.
+
+    ``merge`` turns states into fewer states of the same columns. The merged batch
+    counts from the moment its entry in the log is committed, which is one file;
+    batches that arrive meanwhile are not touched. What it replaces is deleted by
+    the next merge, so that readers of this moment can finish.
+    """
+    log = _merge_log(spark, path)
+    old = {r["replaced"] for r in log.select("replaced").distinct().collect()}
+    done = {r["merged"] for r in log.select("merged").distinct().collect()}
+    batches = [b for b in batches_of(spark, path) if b not in old and (b in done or not b.startswith(MERGED))]
+    for name in old.intersection(batches_of(spark, path)):
+        _delete(spark, f"{path}/batch_id={name}")
+    if len(batches) < 2:
+        return []
+    name = new_batch(MERGED.rstrip("-"))
+    states = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("string"))
+    write_partials(merge(states.where(F.col("batch_id").isin(batches)).drop("batch_id")), path, name)
+    entry = spark.createDataFrame([(name, b) for b in batches], "merged string, replaced string")
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/{_MERGES}")
+    return batches
 
 
 def append_snapshot(df: DataFrame, path: str) -> None:
@@ -65,28 +137,60 @@ def append_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> int:
-    """Write a new version beside the old one, then point readers at it.
+def merge_snapshots(spark: SparkSession, path: str, keys: Sequence[str], day: date) -> int:
+    """Leave only the newest refresh of each key of one day; returns the rows left.
 
-    A failed write leaves the old version in place; readers never see half.
+    The rows go to a folder beside the table first. Rows of refreshes that arrive
+    while it runs stay, because only the files that were read are deleted.
+    """
+    rows = spark.read.parquet(path).where(F.col("snapshot_date") == F.lit(str(day)).cast("date"))
+    files = rows.inputFiles()
+    newest = latest_by_version(rows, keys, "refreshed_at", deleted=None)
+    staged = f"{path}/_merging-{uuid.uuid4().hex}"
+    newest.write.parquet(staged)
+    kept = spark.read.schema(newest.schema).parquet(staged)
+    kept.coalesce(1).write.mode("append").partitionBy("snapshot_date").parquet(path)
+    for file in files:
+        _delete(spark, file)
+    left = kept.count()
+    _delete(spark, staged)
+    return left
+
+
+def replace_table(df: DataFrame, path: str, keep_seconds: int = 3600) -> int:
+    """Write a new version beside the old one; readers take the newest complete one.
+
+    A failed write leaves the old version in place; readers never see half. Older
+    versions go once the version after them is ``keep_seconds`` old, so that whoever
+    reads one can finish.
     """
     version = time.time_ns()
-    df.write.mode("errorifexists").parquet(f"{path}/data/version={version}")
     spark = df.sparkSession
-    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/pointer")
+    df.write.mode("errorifexists").parquet(f"{path}/data/version={version}")
+    complete = _versions(spark, path)
+    for old, following in zip(complete, complete[1:], strict=False):
+        if following < version - keep_seconds * 10**9:
+            _delete(spark, f"{path}/data/version={old}")
     return version
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions, oldest first: a finished Spark write leaves its mark."""
+    names = [n for n in _children(spark, f"{path}/data") if n.startswith("version=")]
+    return sorted(
+        int(n.removeprefix("version=")) for n in names if folder_exists(spark, f"{path}/data/{n}/_SUCCESS")
+    )
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The version readers are pointed at."""
-    newest = spark.read.parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/data/version={newest}")
+    """The newest complete version."""
+    return spark.read.parquet(f"{path}/data/version={_versions(spark, path)[-1]}")
 
 
 def backfill(df: DataFrame, path: str) -> None:
-    """One-off load of a stored aggregate from history, as the states of the
-    batch load; running it again replaces it."""
-    write_partials(df, path, BATCH_LOAD)
+    """One-off load of a stored aggregate from history, as a batch of its own
+    name; running it again replaces it."""
+    write_partials(df, path, BACKFILL)
 
 
 def apply_retention(
@@ -107,51 +211,52 @@ def drop_expired_months(
     if table not in RETAINED_TABLES:
         return []
     keep_from = int((as_of - timedelta(days=days)).strftime("%Y%m"))
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = []
-    for status in files.listStatus(hadoop_path):
-        name = status.getPath().getName()
+    for name in _children(spark, path):
         if not name.startswith("month="):
             continue
         month = int(name.removeprefix("month="))
         if 197001 < month < keep_from:
-            files.delete(status.getPath(), True)
+            _delete(spark, f"{path}/{name}")
             dropped.append(month)
     return sorted(dropped)
 
 
-def compact(spark: SparkSession, path: str, table: str, month: int) -> None:
-    """Merge the batches of a settled month into one set of files.
+def compact(
+    spark: SparkSession, path: str, table: str, month: int, before_delete: Callable[[], None] | None = None
+) -> list[str]:
+    """Merge the batches that a month has now into one set of files; returns them.
 
     Only superseded versions go. The newest version of a key stays even if it is
-    a delete, because an older version may sit in another month. The result is
-    written to the shared folder first, so the rewrite never reads what it
-    replaces.
+    a delete, because an older version may sit in another month. The result is a
+    batch of a new name, and only the batches that were read are deleted, so a
+    batch that arrives meanwhile stays. If the job ends before it has deleted them,
+    rows are there twice with the same version, which no reader of the state sees.
+    ``before_delete`` runs between the two steps.
     """
-    staged = shared_folder(spark, f"compact-{table}")
-    rows = spark.read.parquet(path).where(F.col("month") == month).drop("month", "batch_id")
-    latest_by_version(rows, TABLES[table].keys, deleted=None).write.parquet(staged)
-    merged = spark.read.parquet(staged)
+    folder = f"{path}/month={month}"
+    batches = batches_of(spark, folder)
+    rows = (
+        spark.read.schema(f"{TABLES[table].stored_ddl()}, month int, batch_id string")
+        .parquet(path)
+        .where((F.col("month") == month) & F.col("batch_id").isin(batches))
+        .drop("month", "batch_id")
+    )
+    name = new_batch(MERGED.rstrip("-"))
     (
-        merged.withColumns({"month": F.lit(month), "batch_id": F.lit(BATCH_LOAD).cast("bigint")})
+        latest_by_version(rows, TABLES[table].keys, deleted=None)
+        .withColumns({"month": F.lit(month), "batch_id": F.lit(name)})
         .hint("rebalance")
         .sortWithinPartitions(*TABLES[table].keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy("month", "batch_id")
         .parquet(path)
     )
-    _drop_batches(spark, f"{path}/month={month}")
-
-
-def _drop_batches(spark: SparkSession, month_path: str) -> None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(month_path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(hadoop_path):
-        name = status.getPath().getName()
-        if name.startswith("batch_id=") and name != f"batch_id={BATCH_LOAD}":
-            files.delete(status.getPath(), True)
+    if before_delete:
+        before_delete()
+    for batch in batches:
+        _delete(spark, f"{folder}/batch_id={batch}")
+    return batches
 
 
 def rebuild(

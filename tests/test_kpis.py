@@ -256,14 +256,14 @@ def test_quality_report_names_what_is_wrong(spark):
     )
     report = {r["check"]: (r["value"], r["passed"]) for r in as_dicts(quality.run_checks(t, AS_OF))}
     assert len(report) == 15
-    assert report["inbound_event_logs has rows"] == ("2", True)
-    assert report["protocol_definitions has rows"] == ("0", False)
-    assert report["inbound_event_logs: no empty source"] == ("1", False)
-    assert report["inbound_event_logs: no future received_at"] == ("1", False)
-    assert report["step_instances: orphaned protocol_instance_id"] == ("1", False)
-    assert report["deviations: orphaned step_instance_id"] == ("1", False)
-    assert report["inbound_event_logs fresh (last 10min)"] == ("ok", True)
-    assert report["intelligence_event_logs fresh (last 1h)"] == ("stale", False)
+    assert report["rows present: inbound_event_logs"] == ("2", True)
+    assert report["rows present: protocol_definitions"] == ("0", False)
+    assert report["inbound_event_logs: source never blank"] == ("1", False)
+    assert report["inbound_event_logs: received_at at most an hour ahead"] == ("1", False)
+    assert report["step_instances: every enrolment known"] == ("1", False)
+    assert report["deviations: every step known"] == ("1", False)
+    assert report["newest inbound_event_logs row within 10 minutes"] == ("ok", True)
+    assert report["newest intelligence_event_logs row within an hour"] == ("stale", False)
     stored = {n: marts.build(n, t) for n in ("mv_ingestion_quality", "mv_event_volume_hourly")}
     with_stored = {r["check"]: (r["value"], r["passed"]) for r in as_dicts(quality.run_checks(t, AS_OF, stored))}
     assert with_stored == report

@@ -1,6 +1,6 @@
 import os
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 
@@ -186,30 +186,89 @@ def test_backfill_is_idempotent(spark, layout):
     assert [r.deviation_count for r in marts.merge(sinks.read_partials(spark, f"{layout.root}/p"), mart).collect()] == [1]
 
 
-def test_streaming_dedup_and_buckets(spark, layout):
-    rows = [message("c", {"id": n % 3, "protocol_instance_id": uid(1), "status": "ACTIVE", "changed_at": f"2024-01-01T0{n % 3}:10:00Z"}, n) for n in range(6)]
+def test_streaming_dedup_keeps_late_and_unreadable_rows(spark, layout):
+    def row(n, moment):
+        return message("c", {"id": n, "protocol_instance_id": uid(1), "status": "ACTIVE", "changed_at": moment}, n + 1)
+
+    folder = f"{layout.root}/messages"
+    waves = [[row(1, "2024-06-01T00:00:00Z")] * 2, [row(2, "2020-01-01T00:00:00Z"), row(3, "garbage")], [row(1, "2024-06-01T00:00:00Z"), row(3, "garbage")]]
+    path = f"{layout.root}/rows"
+    for wave in waves:
+        spark.createDataFrame([(v,) for v in wave], "value string").coalesce(1).write.mode("append").text(folder)
+        changes = decode_envelope(read_change_files(spark, folder, 1), "protocol_instance_history")
+        ingest.start_dedup(changes, "protocol_instance_history", "changed_at", timedelta(days=30), path, f"{layout.root}/checkpoint", {"availableNow": True}).awaitTermination()
+    stored = read_changelog(spark, path, "protocol_instance_history")
+    assert sorted(r.id for r in stored.collect()) == [1, 2, 3]
+
+
+def test_streaming_buckets(spark, layout):
+    rows = [message("c", {"id": n, "protocol_instance_id": uid(1), "status": "ACTIVE", "changed_at": f"2024-01-01T0{n % 3}:10:00Z"}, n) for n in range(6)]
     folder = write_files(spark, layout, rows, 2)
     changes = decode_envelope(read_change_files(spark, folder, 1), "protocol_instance_history")
-    for name, df, mode in (
-        ("dedup", ingest.dedup_stream(changes, "id", "changed_at", "30 days"), "append"),
-        ("buckets", ingest.count_by_bucket(changes, "changed_at", "1 hour"), "complete"),
-    ):
-        query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-        query.awaitTermination()
-    assert spark.table("dedup").count() == 3
+    buckets = ingest.count_by_bucket(changes, "changed_at", "1 hour")
+    query = buckets.writeStream.format("memory").queryName("buckets").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
     assert {r.rows for r in spark.table("buckets").collect()} == {2}
 
 
-def test_working_folders_follow_the_cluster_setting(spark):
+def test_compaction_keeps_batches_that_arrive_meanwhile_and_later_loads(spark, layout):
+    path, name = layout.changelog("intelligence_deliveries"), "intelligence_deliveries"
+    wave = lambda first, last: change_table(spark, name, *[delivery(n, "PENDING", n) for n in range(first, last)])
+    sinks.write_changelog(wave(0, 20), path, name, 1)
+    gone = sinks.compact(spark, path, name, 202401, before_delete=lambda: sinks.write_changelog(wave(20, 45), path, name, 2))
+    assert gone == ["1"]
+    for part in ((45, 50), (50, 60)):
+        sinks.write_changelog(wave(*part), path, name)
+    assert read_changelog(spark, path, name).count() == 60
+    sinks.compact(spark, path, name, 202401)
+    assert read_changelog(spark, path, name).count() == 60
+
+
+def test_merged_partials_count_once_whenever_a_merge_stops(spark, layout):
+    mart = marts.MARTS["mv_deviation_trends"]
+    path = layout.partials("mv_deviation_trends")
+    changes = change_table(spark, "deviations", {"id": uid(1), "deviation_type": "MISSED", "detected_at": at("2024-01-02T00:00:00")})
+    total = lambda: [r.deviation_count for r in ingest.read_aggregate(spark, "mv_deviation_trends", layout).collect()]
+    assert sinks.read_partials(spark, path, "deviation_count bigint").count() == 0
+    for batch in range(3):
+        sinks.write_partials(marts.partials(changes, mart), path, batch)
+    assert ingest.merge_aggregate(spark, "mv_deviation_trends", layout) == ["0", "1", "2"] and total() == [3]
+    # a merge that was written but not entered does not count
+    sinks.write_partials(marts.partials(changes, mart), path, sinks.MERGED + "unfinished")
+    assert total() == [3]
+    sinks.write_partials(marts.partials(changes, mart), path, 3)
+    assert total() == [4]
+    ingest.merge_aggregate(spark, "mv_deviation_trends", layout)
+    assert total() == [4]
+    assert not {"0", "1", "2"} & set(sinks.batches_of(spark, path))
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, layout):
+    first, second = (ingest.run_of(spark, layout.checkpoint(n)) for n in ("a", "b"))
+    assert first != second and ingest.run_of(spark, layout.checkpoint("a")) == first
+
+
+def test_old_versions_go_after_their_grace(spark, layout):
+    path = f"{layout.root}/whole"
+    for n in range(3):
+        sinks.replace_table(spark.range(n + 1), path, keep_seconds=0)
+    assert sinks.read_table(spark, path).count() == 3
+    assert len(sinks._versions(spark, path)) <= 2
+
+
+def test_snapshots_are_merged_to_the_newest_refresh(spark, layout):
+    path = f"{layout.root}/snapshots"
+    for minute in range(3):
+        rows = spark.sql(f"SELECT date'2024-01-05' AS snapshot_date, 'a' AS k, {minute} AS n, timestamp'2024-01-05 00:0{minute}:00' AS refreshed_at")
+        sinks.append_snapshot(rows, path)
+    assert sinks.merge_snapshots(spark, path, ["snapshot_date", "k"], date(2024, 1, 5)) == 1
+    spark.catalog.clearCache()
+    assert [r.n for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_working_folders(spark):
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/tmp/shared-by-cluster")
-    except Exception:
-        pytest.skip("the session fixes this setting at start")
-    try:
-        assert shared_folder(spark, "x").startswith("/tmp/shared-by-cluster/cdcmart/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    assert shared_folder(spark, "x", "/shared").startswith("/shared/cdcmart/x-")
 
 
 def test_every_rollup_and_aggregate_has_a_stream(spark):
