@@ -17,8 +17,8 @@ hangs on how the input is split into partitions, not on the order of the tasks.
 
 from __future__ import annotations
 
+import os
 import re
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,7 +26,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +37,13 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one task merges: at most MERGE * OPEN_WINDOWS windows.
 MERGE = 32
 END_ID = 1
-#: Words and signs a worker remembers.
-REMEMBERED = 400_000
+#: Runs of letters or signs, and parts between white space, that a worker remembers (some 150 bytes each).
+RUNS, PARTS = 1_000_000, 1_500_000
 
-_PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]*")  # here lower case is the same letter by letter, and no form composes
-_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Latin text without number signs and free accents: lower case is the same letter by letter, no form composes.
+_PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]*+")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PARTS = re.compile(r"[^\t-\r ]+")
 
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, window long, at long, is_open boolean, part int, ids binary"
 
@@ -51,42 +52,56 @@ class Words:
     """Token ids (little-endian, 4 bytes each) of texts, remembering the parts between white space."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_runs(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 1024):
-            some = runs[at : at + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        groups = [runs[at : at + 1024] for at in range(0, len(runs), 1024)]
+        for some, found in zip(groups, self._direct([" ".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(found, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self.runs.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                ends = (4 * cuts).tolist()
+                self.runs.update(zip(some, (found[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
                 self.runs.update(zip(some, self._direct(some), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        if len(self.runs) > REMEMBERED:
+        if len(self.runs) > RUNS:
             self.runs = {}
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.parts]
-        plain = [p for p in new if len(p) <= 64 and "<|" not in p and _PLAIN.fullmatch(p) and unicodedata.is_normalized("NFC", p)]
-        split = [_RUNS.findall(p.lower()) for p in plain]
-        self._learn_runs([r for r in set(chain.from_iterable(split)) if r not in self.runs])
-        self.parts.update((p, b"".join(map(self.runs.__getitem__, s))) for p, s in zip(plain, split, strict=True))
-        odd = [p for p in new if p not in self.parts]
-        self.parts.update(zip(odd, self._direct(odd), strict=True))
-        return [b"".join(map(self.parts.__getitem__, c)) for c in cut]
+        if len(self.parts) > PARTS:
+            self.parts = {}
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [t.lower().split() if p else _PARTS.findall(t) for t, p in zip(texts, plain, strict=True)]
+        known = self.parts.get
+        found = [list(map(known, c)) for c in cut]
+        some = [i for i, f in enumerate(found) if None in f]
+        for kind in (True, False):
+            self._learn({w for i in some if plain[i] is kind for w, f in zip(cut[i], found[i], strict=True) if f is None}, kind)
+        for i in some:
+            found[i] = [known(w) if f is None else f for w, f in zip(cut[i], found[i], strict=True)]
+        return [b"".join(f) for f in found]
+
+    def _learn(self, parts: set[str], plain: bool) -> None:
+        """Plain parts are put together from their runs; parts with other signs go to the tokenizer as they are."""
+        new = list(parts)
+        if plain:
+            split = [[p] if p.isascii() and p.isalpha() else _RUNS.findall(p) for p in new]
+            self._learn_runs(list(set(chain.from_iterable(split)).difference(self.runs)))
+            known = self.runs.__getitem__
+            self.parts.update((p, known(s[0]) if len(s) == 1 else b"".join(map(known, s))) for p, s in zip(new, split, strict=True))
+        else:
+            self.parts.update(zip(new, self._direct(new), strict=True))
 
 
 _WORDS: dict[str, Words] = {}
