@@ -20,7 +20,7 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of a batch that are worked on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -144,9 +144,11 @@ _CACHE: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse, kept for the next call of a worker."""
+    """Powers of the factor and of its inverse, kept for the next call of a worker (long ones are made anew)."""
+    if n > 1 << 23:
+        return _powers(n, _FACTOR), _powers(n, np.uint64(pow(int(_FACTOR), -1, 1 << 64)))
     if not _CACHE or len(_CACHE["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = ((n >> 18) + 1) << 18
         _CACHE["up"] = _powers(size, _FACTOR)
         _CACHE["down"] = _powers(size, np.uint64(pow(int(_FACTOR), -1, 1 << 64)))
     return _CACHE["up"][:n], _CACHE["down"][:n]

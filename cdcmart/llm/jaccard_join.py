@@ -88,8 +88,8 @@ def needed(n, m, share: int = SHARE):
     return -(-(n + m) * share // (100 + share))
 
 
-def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:
-    for start, stop in slices(batch.column("text"), most):
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    for start, stop in slices(batch.column("text")):
         for at in range(start, stop, _SLICE_ROWS):
             yield at, min(at + _SLICE_ROWS, stop)
 
@@ -99,7 +99,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in _slices(batch, 8 << 20):
+            for start, stop in _slices(batch):
                 sets = shingle_sets(*text_bytes(batch.column("text").slice(start, stop - start)))
                 ids = [np.array([s.sum(dtype=np.uint64), mixed(s ^ _PLACES[60]).sum(dtype=np.uint64)]).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -117,7 +117,7 @@ def _may_link(docs: DataFrame, share: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in _slices(batch, 8 << 20):
+            for start, stop in _slices(batch):
                 ids = np.asarray(batch.column("doc_id").slice(start, stop - start))
                 sets = shingle_sets(*text_bytes(batch.column("text").slice(start, stop - start)))
                 values, doc, asks = [], [], []
@@ -224,7 +224,7 @@ def _class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, stop in _slices(batch, 2 << 20):
+            for start, stop in _slices(batch):
                 part = batch.slice(start, stop - start)
                 sets = shingle_sets(*text_bytes(part.column("text")))
                 number += 1
@@ -370,8 +370,10 @@ def _links(groups: DataFrame, share: int) -> DataFrame:
     """``a, b, links``: links that connect, and how many documents each class of a pair of blocks links with."""
 
     def search(held: list[tuple]) -> Iterator[tuple]:
-        left = [h for h in held if h[0] == 0]
-        right = [h for h in held if h[0] == 1] or left
+        own = [h for h in held if h[0] == 2]  # a block with itself
+        left, right = (own, own) if own else ([h for h in held if h[0] == 0], [h for h in held if h[0] == 1])
+        if not left or not right:
+            return
         sets = [np.frombuffer(h[4], np.uint64) for h in right]
         sizes, members = np.array([len(s) for s in sets]), np.array([h[3] for h in right])
         lists = inverted(sets)
@@ -453,7 +455,7 @@ def _blocks(sets: DataFrame, clusters: DataFrame, share: int) -> DataFrame:
     pair = lambda band, side, mine, other: F.struct(band.alias("band"), side.alias("side"), mine.alias("i"), other.alias("j"))
     within = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda k: pair(F.col("band") * 2, F.when(k >= F.col("block"), 0).otherwise(1), F.least(k, "block"), F.greatest(k, "block")),
+        lambda k: pair(F.col("band") * 2, F.when(k == F.col("block"), 2).when(k > F.col("block"), 0).otherwise(1), F.least(k, "block"), F.greatest(k, "block")),
     )
     up = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("above", F.lit(1).cast("long"))), lambda k: pair(F.col("band") * 2 + 1, F.lit(0), F.col("block"), k - 1))
     down = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("below", F.lit(1).cast("long"))), lambda k: pair(F.col("band") * 2 - 1, F.lit(1), k - 1, F.col("block")))
@@ -507,4 +509,5 @@ def report(docs: DataFrame, share: int = SHARE) -> DataFrame:
 def representatives(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, with all their columns."""
     dropped = report(docs, share).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(checkpointed(dropped), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(checkpointed(dropped), F.col("_row.doc_id") == F.col("_dropped"), "left_anti").select("_row.*")
