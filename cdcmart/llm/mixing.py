@@ -113,8 +113,7 @@ def report(docs: DataFrame, **settings) -> DataFrame:
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    clash = {"size", "source_size", "target", "copies", "_draw"} & set(docs.columns)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source") if clash else docs
-    mixed = shares(held, **settings).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
-    mixed = mixed.where("_copy <= copies")
-    return mixed.select("_row.*") if clash else mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row as one value, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source")
+    mixed = shares(rows, **settings).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -38,8 +38,8 @@ GRAM = 96
 #: Pieces of an anchor that one shard takes.
 HOT = 3000
 #: Bytes of text that are sorted at once, and of a slice in which anchors are looked for.
-SHARD_BYTES = 3 << 20
-SLICE = 4 << 20
+SHARD_BYTES = 2 << 20
+SLICE = 2 << 20
 #: Digest ranges of the merge across shards.
 RANGES = 256
 
