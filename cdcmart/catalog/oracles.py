@@ -665,6 +665,8 @@ def _state_queries() -> dict[str, str]:
             status, enrolled_at, false AS is_deleted FROM cur_enrolments""",
         "stream_rollup_step": """SELECT protocol_instance_id, id, action_id, state, completion_status,
             false AS is_deleted FROM cur_steps""",
+        "equal_versions_by_arrival": """SELECT 'SECOND' AS status, count(DISTINCT id) AS rows, form
+            FROM deliveries, (VALUES ('state'), ('rollup')) f(form) WHERE NOT _is_deleted GROUP BY ALL""",
         "merged_partials": marts["mv_ingestion_quality"],
         "merged_rollup": """SELECT id, destination, action_type, subject, status, attempt_count, created_at,
             _is_deleted AS is_deleted FROM cur_deliveries""",

@@ -494,6 +494,23 @@ def _(t):
     return changelog.latest_by_version(stored).select("id", "patient_id", "status", "enrolled_at", "_version")
 
 
+@register("equal_versions_by_arrival")
+def _(t):
+    """Two loads with the same keys and versions: the later one counts, in state and in rollup alike."""
+    name, rollup = "intelligence_deliveries", "rollup_delivery_current"
+    layout = ingest.Layout(shared_folder(t.spark, "arrival"))
+    rows = t[name].where("NOT _is_deleted")
+    for status in ("FIRST", "SECOND"):
+        sinks.write_changelog(rows.withColumn("status", F.lit(status)), layout.changelog(name), name)
+    stored = readers.read_changelog(t.spark, layout.changelog(name), name)
+    halves = [stored.where(F.col("status") == s) for s in ("SECOND", "FIRST")]  # the later half comes first
+    for n, half in enumerate(halves):
+        sinks.write_partials(rollups.rollup_partials(rollup, half), layout.partials(rollup), n)
+    state = changelog.latest_by_version(halves[0].unionByName(halves[1])).groupBy("status").agg(F.count("*").alias("rows"))
+    merged = ingest.read_aggregate(t.spark, rollup, layout).groupBy("status").agg(F.count("*").alias("rows"))
+    return state.withColumn("form", F.lit("state")).unionByName(merged.withColumn("form", F.lit("rollup")))
+
+
 @register("stream_history_dedup")
 def _(t):
     root = shared_folder(t.spark, "stream-dedup")

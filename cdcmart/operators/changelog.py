@@ -17,6 +17,8 @@ from cdcmart.functions.derive import with_read_aliases
 
 VERSION = "_version"
 DELETED = "_is_deleted"
+#: When a stored change row arrived, and its place in that batch (Kafka offset or order of reading).
+ARRIVAL = "_arrival"
 
 
 def latest_by_version(
@@ -28,15 +30,23 @@ def latest_by_version(
 ) -> DataFrame:
     """The row with the highest version per key; gone if that row is a delete.
 
-    Equal versions are settled by ``arrival`` (for example the Kafka offset),
-    the later one wins. ``row_number() = 1`` plans as a group limit below the
-    exchange, and unused columns are pruned through it, which a struct-valued
-    ``max_by`` would not allow.
+    Equal versions are settled by ``arrival`` (the stored order of arrival unless
+    another column is named), the later one wins. ``row_number() = 1`` plans as a
+    group limit below the exchange, and unused columns are pruned through it, which
+    a struct-valued ``max_by`` would not allow. Current state (``deleted`` given)
+    does not carry the order of arrival any more.
     """
-    order = [F.col(version).desc()] + ([F.col(arrival).desc()] if arrival else [])
+    arrival = arrival or (ARRIVAL if ARRIVAL in df.columns else None)
+    order = [F.col(version).desc()] + ([F.col(arrival).desc_nulls_last()] if arrival else [])
     newest = Window.partitionBy(*keys).orderBy(*order)
     latest = df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
-    return latest.where(~F.col(deleted)) if deleted else latest
+    return latest.where(~F.col(deleted)).drop(ARRIVAL) if deleted else latest
+
+
+def _version_order(df: DataFrame, version: str) -> Column:
+    """What decides between states of a key: the version, then the order of arrival."""
+    at, row = (F.coalesce(F.col(f"{ARRIVAL}.{f}"), F.lit(0)) if ARRIVAL in df.columns else F.lit(0) for f in ("at", "row"))
+    return F.struct(F.col(version).alias("version"), at.cast("bigint").alias("at"), row.cast("bigint").alias("row"))
 
 
 def current(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
@@ -63,18 +73,19 @@ def argmax_partial(
     skip_null: Sequence[str] = (),
 ) -> DataFrame:
     """One arg-max state per key: ``state`` holds the columns at the highest
-    version, ``state_version`` that version.
+    version, ``state_version`` that version and its order of arrival.
 
     Columns in ``skip_null`` keep their own newest non-NULL value and version.
     """
     together = [c for c in columns if c not in skip_null]
+    order = _version_order(df, version)
     aggregates = [
-        F.max_by(F.struct(*together), F.col(version)).alias("state"),
-        F.max(version).alias("state_version"),
+        F.max_by(F.struct(*together), order).alias("state"),
+        F.max(order).alias("state_version"),
     ]
     for name in skip_null:
-        seen = F.when(F.col(name).isNotNull(), F.struct(F.col(version).alias("v"), F.col(name).alias("x")))
-        aggregates.append(F.max_by(seen, F.when(F.col(name).isNotNull(), F.col(version))).alias(f"state_{name}"))
+        seen = F.when(F.col(name).isNotNull(), F.struct(order.alias("v"), F.col(name).alias("x")))
+        aggregates.append(F.max_by(seen, F.when(F.col(name).isNotNull(), order)).alias(f"state_{name}"))
     return df.groupBy(*keys).agg(*aggregates)
 
 

@@ -146,10 +146,19 @@ def counter_rate(
     return increase.withColumn("value", F.col("value") / lookback_seconds)
 
 
+def _one_each(vector: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """The vector, refused if it holds two values for the same labels and time."""
+    twice = F.raise_error(F.lit("two values for the same labels and time")).cast("double")
+    return vector.groupBy(*keys).agg(*[F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(v)).alias(v) for v in values])
+
+
 def divide(numerator: DataFrame, denominator: DataFrame, on: Sequence[str], scale: float = 1.0) -> DataFrame:
-    """Quotient of two vectors matched on labels and time; no value over zero."""
-    left = numerator.select("ts", *on, F.col("value").alias("_num"))
-    right = denominator.select("ts", *on, F.col("value").alias("_den"))
+    """Quotient of two vectors matched on labels and time; no value over zero.
+
+    Two values of a side for the same labels and time are an error.
+    """
+    left = _one_each(numerator.select("ts", *on, F.col("value").alias("_num")), ["ts", *on], "_num")
+    right = _one_each(denominator.select("ts", *on, F.col("value").alias("_den")), ["ts", *on], "_den")
     return left.join(right, ["ts", *on]).select(
         "ts", *on, (F.try_divide("_num", "_den") * scale).alias("value")
     )

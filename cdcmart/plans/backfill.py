@@ -42,9 +42,10 @@ def backfill_daily_compliance(
 ) -> DataFrame:
     """The compliance snapshot of every day from ``first`` to ``last``."""
     known = known_enrolments(tables)
-    started = enrolment_starts(tables, known, first, last)
+    days = enrolment_days(tables, known, first, last)
+    started = enrolment_starts(days)
     deltas = [
-        enrolment_deltas(enrolment_days(tables, known, first, last)),
+        enrolment_deltas(days),
         deviation_deltas(tables, started, first, last),
         step_deltas(tables, started, first, last),
     ]
@@ -69,17 +70,6 @@ def known_enrolments(tables: Mapping[str, DataFrame]) -> DataFrame:
     return current(tables, "protocol_instances").select(F.col("id").alias("protocol_instance_id"), PROTOCOL)
 
 
-def enrolment_starts(tables: Mapping[str, DataFrame], known: DataFrame, first, last) -> DataFrame:
-    """The (folded) day each enrolment appears."""
-    history = tables["protocol_instance_history"].where(
-        F.to_date("changed_at") <= F.lit(str(last)).cast("date")
-    )
-    starts = history.groupBy("protocol_instance_id").agg(F.min("changed_at").alias("_earliest"))
-    return known.join(starts, "protocol_instance_id").select(
-        "protocol_instance_id", PROTOCOL, folded_day(F.col("_earliest"), first).alias("_start")
-    )
-
-
 def enrolment_days(tables: Mapping[str, DataFrame], known: DataFrame, first, last) -> DataFrame:
     """Last status per enrolment and day, with the protocol of the enrolment."""
     return (
@@ -89,6 +79,11 @@ def enrolment_days(tables: Mapping[str, DataFrame], known: DataFrame, first, las
     )
 
 
+def enrolment_starts(days: DataFrame) -> DataFrame:
+    """The (folded) day each enrolment appears: its first in :func:`enrolment_days`."""
+    return days.groupBy("protocol_instance_id", PROTOCOL).agg(F.min(DAY).alias("_start"))
+
+
 def enrolment_deltas(days: DataFrame) -> DataFrame:
     before = F.lag("status").over(Window.partitionBy("protocol_instance_id").orderBy(DAY))
     moved = days.withColumn("_before", before)

@@ -39,7 +39,8 @@ def dash_compliance_cards(kpis: DataFrame, day: date | str) -> DataFrame:
 
 
 def _facility_names(tables: Tables) -> DataFrame:
-    return current(tables, "facility").select("facility_id", "facility_name")
+    """One name per facility, so that the join repeats no row."""
+    return current(tables, "facility").groupBy("facility_id").agg(F.min("facility_name").alias("facility_name"))
 
 
 def _named_adoption(adoption: DataFrame, tables: Tables) -> DataFrame:

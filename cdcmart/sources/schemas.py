@@ -47,24 +47,29 @@ class TableSpec:
 
     def stored_ddl(self) -> str:
         parts = [f"{c} {SPARK_TYPES[k]}" for c, k in self.columns.items()]
-        parts += ["_version bigint", "_is_deleted boolean"]
+        parts += ["_version bigint", "_is_deleted boolean", "_arrival struct<at:bigint,row:bigint>"]
         parts += [f"{c} {t}" for c, t in self.derived.items()]
         return ", ".join(parts)
 
 
-def _columns(spec: str) -> dict[str, str]:
-    pairs = (entry.split(":") for entry in spec.split())
-    return {name: kind for name, kind in pairs}
-
-
+# fixed values: tables, topics and columns as the connector names them
 _SPECS = [
     TableSpec(
         "inbound_event_logs",
         "inbound_event_log",
-        _columns(
-            "id:uuid cloudevents_id:text source:text correlation_id:text raw_payload:text status:text "
-            "rejection_reason:text error_details:text received_at:ts updated_at:ts event_time:ts?"
-        ),
+        {
+            "id": "uuid",
+            "cloudevents_id": "text",
+            "source": "text",
+            "correlation_id": "text",
+            "raw_payload": "text",
+            "status": "text",
+            "rejection_reason": "text",
+            "error_details": "text",
+            "received_at": "ts",
+            "updated_at": "ts",
+            "event_time": "ts?",
+        },
         "received_at",
         {
             "subject": "string",
@@ -79,112 +84,210 @@ _SPECS = [
     TableSpec(
         "protocol_definitions",
         "protocol_definition",
-        _columns("id:uuid url:text version:text status:text definition:text loaded_at:ts updated_at:ts"),
+        {
+            "id": "uuid",
+            "url": "text",
+            "version": "text",
+            "status": "text",
+            "definition": "text",
+            "loaded_at": "ts",
+            "updated_at": "ts",
+        },
         None,
         {"name": "string"},
     ),
     TableSpec(
         "protocol_instances",
         "protocol_instance",
-        _columns(
-            "id:uuid patient_id:text protocol_canonical:text protocol_definition_id:uuid status:text "
-            "enrolled_at:ts created_at:ts updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "patient_id": "text",
+            "protocol_canonical": "text",
+            "protocol_definition_id": "uuid",
+            "status": "text",
+            "enrolled_at": "ts",
+            "created_at": "ts",
+            "updated_at": "ts",
+        },
         "enrolled_at",
     ),
     TableSpec(
         "step_instances",
         "step_instance",
-        _columns(
-            "id:uuid protocol_instance_id:uuid action_id:text repeat_index:int state:text due_date:ts? "
-            "overdue_date:ts? missed_date:ts? completed_at:ts? completed_by_source:text "
-            "completion_status:text completed_by_event_id:uuid? required_behavior:text created_at:ts "
-            "updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "protocol_instance_id": "uuid",
+            "action_id": "text",
+            "repeat_index": "int",
+            "state": "text",
+            "due_date": "ts?",
+            "overdue_date": "ts?",
+            "missed_date": "ts?",
+            "completed_at": "ts?",
+            "completed_by_source": "text",
+            "completion_status": "text",
+            "completed_by_event_id": "uuid?",
+            "required_behavior": "text",
+            "created_at": "ts",
+            "updated_at": "ts",
+        },
         "created_at",
     ),
     TableSpec(
         "protocol_instance_history",
         "protocol_instance_history",
-        _columns("id:long protocol_instance_id:uuid status:text changed_at:ts"),
+        {
+            "id": "long",
+            "protocol_instance_id": "uuid",
+            "status": "text",
+            "changed_at": "ts",
+        },
         "changed_at",
     ),
     TableSpec(
         "step_instance_history",
         "step_instance_history",
-        _columns("id:long step_instance_id:uuid state:text completion_status:text changed_at:ts"),
+        {
+            "id": "long",
+            "step_instance_id": "uuid",
+            "state": "text",
+            "completion_status": "text",
+            "changed_at": "ts",
+        },
         "changed_at",
     ),
     TableSpec(
         "deviations",
         "deviation",
-        _columns(
-            "id:uuid protocol_instance_id:uuid step_instance_id:uuid deviation_type:text detected_at:ts "
-            "intelligence_event_id:uuid? metadata:text updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "protocol_instance_id": "uuid",
+            "step_instance_id": "uuid",
+            "deviation_type": "text",
+            "detected_at": "ts",
+            "intelligence_event_id": "uuid?",
+            "metadata": "text",
+            "updated_at": "ts",
+        },
         "detected_at",
     ),
     TableSpec(
         "compliance_event_logs",
         "compliance_event_log",
-        _columns(
-            "id:uuid cloudevents_id:text source:text correlation_id:text processing_status:text data:text "
-            "received_at:ts updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "cloudevents_id": "text",
+            "source": "text",
+            "correlation_id": "text",
+            "processing_status": "text",
+            "data": "text",
+            "received_at": "ts",
+            "updated_at": "ts",
+        },
         "received_at",
     ),
     TableSpec(
         "action_definitions",
         "action_definition",
-        _columns(
-            "id:uuid canonical_url:text version:text name:text title:text status:text action_type:text "
-            "definition:text created_at:ts updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "canonical_url": "text",
+            "version": "text",
+            "name": "text",
+            "title": "text",
+            "status": "text",
+            "action_type": "text",
+            "definition": "text",
+            "created_at": "ts",
+            "updated_at": "ts",
+        },
     ),
     TableSpec(
         "intelligence_event_logs",
         "intelligence_event_log",
-        _columns(
-            "id:uuid action_definition_id:uuid protocol_instance_id:uuid step_instance_id:uuid? "
-            "deviation_id:uuid? subject:text action_type:text intelligence_destination:text step_state:text "
-            "trigger_reason:text step_action_id:text evaluation_expression:text evaluation_context:text "
-            "published:flag published_at:ts? created_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "action_definition_id": "uuid",
+            "protocol_instance_id": "uuid",
+            "step_instance_id": "uuid?",
+            "deviation_id": "uuid?",
+            "subject": "text",
+            "action_type": "text",
+            "intelligence_destination": "text",
+            "step_state": "text",
+            "trigger_reason": "text",
+            "step_action_id": "text",
+            "evaluation_expression": "text",
+            "evaluation_context": "text",
+            "published": "flag",
+            "published_at": "ts?",
+            "created_at": "ts",
+        },
         "created_at",
     ),
     TableSpec(
         "intelligence_deliveries",
         "intelligence_delivery",
-        _columns(
-            "id:uuid intelligence_event_id:uuid action_definition_id:uuid "
-            "destination_adaptor_mapping_id:uuid? action_type:text status:text subject:text "
-            "protocol_canonical:text action_id:text severity:text destination:text delivery_result:text "
-            "attempt_count:int created_at:ts updated_at:ts delivered_at:ts?"
-        ),
+        {
+            "id": "uuid",
+            "intelligence_event_id": "uuid",
+            "action_definition_id": "uuid",
+            "destination_adaptor_mapping_id": "uuid?",
+            "action_type": "text",
+            "status": "text",
+            "subject": "text",
+            "protocol_canonical": "text",
+            "action_id": "text",
+            "severity": "text",
+            "destination": "text",
+            "delivery_result": "text",
+            "attempt_count": "int",
+            "created_at": "ts",
+            "updated_at": "ts",
+            "delivered_at": "ts?",
+        },
         "created_at",
         {"http_status_code": "int", "error_message": "string"},
     ),
     TableSpec(
         "receiver_adaptor",
         "receiver_adaptor",
-        _columns("id:uuid name:text definition:text status:text config:text created_at:ts updated_at:ts"),
+        {
+            "id": "uuid",
+            "name": "text",
+            "definition": "text",
+            "status": "text",
+            "config": "text",
+            "created_at": "ts",
+            "updated_at": "ts",
+        },
         None,
         {"endpoint_url": "string"},
     ),
     TableSpec(
         "destination_adaptor_mapping",
         "destination_adaptor_mapping",
-        _columns(
-            "id:uuid destination:text receiver_adaptor_id:uuid status:text created_at:ts updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "destination": "text",
+            "receiver_adaptor_id": "uuid",
+            "status": "text",
+            "created_at": "ts",
+            "updated_at": "ts",
+        },
     ),
     TableSpec(
         "facility",
         "facility",
-        _columns(
-            "id:uuid facility_id:text facility_name:text expected_patients_per_day:long "
-            "district_name:text created_at:ts updated_at:ts"
-        ),
+        {
+            "id": "uuid",
+            "facility_id": "text",
+            "facility_name": "text",
+            "expected_patients_per_day": "long",
+            "district_name": "text",
+            "created_at": "ts",
+            "updated_at": "ts",
+        },
     ),
 ]
 

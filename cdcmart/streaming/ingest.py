@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cdcmart.fixed_values import EPOCH
 from cdcmart.functions.derive import derive
-from cdcmart.operators.changelog import argmax_combine, dedup, latest_by_version, state_combine, state_merge
+from cdcmart.operators.changelog import ARRIVAL, argmax_combine, dedup, latest_by_version, state_combine, state_merge
 from cdcmart.plans import marts, rollups
 from cdcmart.sources.envelope import dead_letters, parse_envelope, typed_changes
 from cdcmart.sources.readers import folder_exists, read_changelog
@@ -123,11 +123,11 @@ def process_batch(batch: DataFrame, batch_id: int, ingest: Ingest, layout: Layou
     """Everything one micro-batch of messages leads to."""
     spark = batch.sparkSession
     name_of_batch = f"{run}-{batch_id}"
-    parsed = parse_envelope(batch, ingest.table).persist()
+    parsed = parse_envelope(batch.withColumn(ARRIVAL, sinks.arrival_of(batch)), ingest.table).persist()
     # Kept as well: the changelog and each aggregate need the same parsed bodies.
-    changes = derive(typed_changes(parsed, ingest.table), ingest.table).persist()
+    changes = derive(typed_changes(parsed, ingest.table, keep=(ARRIVAL,)), ingest.table).persist()
     try:
-        sinks.write_partials(dead_letters(parsed), layout.dead(ingest.table), name_of_batch)
+        sinks.write_partials(dead_letters(parsed).drop(ARRIVAL), layout.dead(ingest.table), name_of_batch)
         sinks.write_changelog(changes, layout.changelog(ingest.table), ingest.table, name_of_batch)
         for name in ingest.aggregates:
             sinks.write_partials(

@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdcmart.fixed_values import LOG_RETENTION_DAYS, RETAINED_TABLES
 from cdcmart.functions.columns import as_timestamp, month_of
-from cdcmart.operators.changelog import latest_by_version
+from cdcmart.operators.changelog import ARRIVAL, latest_by_version
 from cdcmart.sources.readers import folder_exists, read_changelog
 from cdcmart.sources.schemas import TABLES
 
@@ -44,6 +44,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def arrival_of(df: DataFrame) -> Column:
+    """Order of arrival of the rows of a batch: now, then the Kafka offset or the order of reading."""
+    row = F.col("offset") if "offset" in df.columns else F.monotonically_increasing_id()
+    return F.struct(F.lit(time.time_ns()).cast("bigint").alias("at"), row.cast("bigint").alias("row"))
+
+
 def write_changelog(
     df: DataFrame, path: str, table: str, batch_id: int | str | None = None, bloom_filters: Sequence[str] = ()
 ) -> None:
@@ -54,11 +60,14 @@ def write_changelog(
     new name, which nothing overwrites. ``rebalance`` lets adaptive execution split
     a month that holds most of the rows and merge the small ones, and the sort
     gives row groups narrow key ranges. ``bloom_filters`` names columns looked
-    up by equality (identifiers, status, subject, facility).
+    up by equality (identifiers, status, subject, facility). Rows that do not carry
+    an order of arrival yet arrive now.
     """
     batch = new_batch("load") if batch_id is None else str(batch_id)
     spec = TABLES[table]
     month = month_of(F.col(spec.month_column)).cast("int") if spec.month_column else F.lit(0)
+    if ARRIVAL not in df.columns:
+        df = df.withColumn(ARRIVAL, arrival_of(df))
     placed = df.withColumns({"month": month, "batch_id": F.lit(batch)})
     writer = (
         placed.hint("rebalance", "month")

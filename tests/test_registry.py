@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest given tables."""
 
 import os
+import re
 
 import pytest
 
@@ -31,7 +32,10 @@ def duck():
 
 
 def test_every_sql_has_its_query():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    """Only training-data operators, which carry tests of their own, may have a query that SQL cannot express."""
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    alone = set(entry.queries()) - set(entry.oracle_sql())
+    assert all(name == "pipeline" or re.match(r"op\d+_", name) for name in alone)
 
 
 def test_entry_has_rows(spark):

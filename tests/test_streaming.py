@@ -248,6 +248,20 @@ def test_a_new_checkpoint_overwrites_nothing(spark, layout):
     assert first != second and ingest.run_of(spark, layout.checkpoint("a")) == first
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_equal_versions_go_to_the_later_batch(spark, layout, partitions):
+    only = ingest.Ingest("intelligence_deliveries", ("rollup_delivery_current",))
+    for n, status in enumerate(("PENDING", "DELIVERED")):
+        row = {"id": uid(1), "intelligence_event_id": uid(50), "action_definition_id": uid(51), "status": status, "destination": "d", "created_at": "2024-01-05T00:00:00Z"}
+        values = [message("c", row, 9)] + [message("c", {**row, "id": uid(2 + i)}, 9) for i in range(6)]
+        batch = spark.createDataFrame([(v,) for v in values], "value string").repartition(partitions)
+        ingest.process_batch(batch, n, only, layout)
+    stored = read_changelog(spark, layout.changelog("intelligence_deliveries"), "intelligence_deliveries")
+    for rows in (stored, stored.orderBy(stored._arrival.desc()), stored.orderBy("_arrival")):
+        assert {r.status for r in latest_by_version(rows).collect()} == {"DELIVERED"}
+    assert {r.status for r in ingest.read_aggregate(spark, "rollup_delivery_current", layout).collect()} == {"DELIVERED"}
+
+
 def test_old_versions_go_after_their_grace(spark, layout):
     path = f"{layout.root}/whole"
     for n in range(3):
