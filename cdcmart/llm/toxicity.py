@@ -9,7 +9,9 @@
   passage of a document whose evidence cannot be raised by growing or shrinking it.
 * Extreme-value statistics (Karlin and Altschul) tell what a best passage scores by
   chance in a text of that length: ``lambda`` is solved from the score distribution of
-  the non-toxic documents; a passage counts by what it exceeds ``ln(n) / lambda``.
+  the non-toxic documents, ``n exp(-lambda s)`` passages as good are expected. Those expected
+  less than once count together, by the probability of their sum (Karlin and Altschul's
+  sum statistic); if that is above ``EXPECTED``, the text has no evidence.
 
 The model is a table of ``BUCKETS`` hashed counts, whatever the corpus. Background
 counts take every token of every document; labels are at most ``LABELLED`` rows,
@@ -22,6 +24,7 @@ without toxic labels nothing has evidence; repeated rows score alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +45,8 @@ SHORT, LONG = 4, 6
 PRIOR_MASS, CORPUS_SHARE, COST = 1.0, 0.1, 0.2
 #: A token below this much evidence has none: three sightings in toxic documents alone reach it.
 LEAST = 1.9
+#: The passages of a text count if chance gives passages as good with this probability at most.
+EXPECTED = 0.05
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -100,9 +105,14 @@ class Model:
     prior: float
 
     def score(self, kept: list[dict]) -> float:
-        """Prior odds times the evidence of all significant passages; a text without one stays below the prior."""
-        odds = np.log(self.prior / (1 - self.prior)) + (sum(x["evidence"] for x in kept) if kept else -1.0)
-        return float(1 / (1 + np.exp(-odds)))
+        """Prior odds times the surprise of all passages together; a text without evidence stays below the prior."""
+        surprise = -1.0
+        if kept:
+            r, total = len(kept), sum(x["evidence"] for x in kept)
+            chance = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
+            surprise = -chance if chance <= math.log(EXPECTED) else surprise
+        odds = math.log(self.prior / (1 - self.prior)) + surprise
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
     def evidence(self, short: np.ndarray, long: np.ndarray) -> np.ndarray:
         e = np.minimum(self.short[short], self.long[long])
