@@ -558,6 +558,13 @@ def _reports() -> dict[str, str]:
         "deviation_unique_patients": f"""SELECT protocol_definition_id, deviation_type,
             count(DISTINCT patient_id) AS affected_patients
             FROM {_between('occurrences', ('2001-03-01', '2001-08-31'))} GROUP BY ALL""",
+        "merged_unique_patients": f"""SELECT protocol_definition_id, deviation_type,
+            count(DISTINCT patient_id) AS affected_patients, true AS estimate_close
+            FROM {_between('occurrences', ('2001-03-01', '2001-08-31'))} GROUP BY ALL""",
+        "readable_quantities": """SELECT "user", queries, CASE WHEN n >= 1e12 THEN printf('%.2f trillion', n / 1e12)
+            WHEN n >= 1e9 THEN printf('%.2f billion', n / 1e9) WHEN n >= 1e6 THEN printf('%.2f million', n / 1e6)
+            WHEN n >= 1e3 THEN printf('%.2f thousand', n / 1e3) ELSE printf('%.2f', n) END AS rows_read
+            FROM (SELECT "user", count(*) AS queries, sum(read_rows)::DOUBLE AS n FROM qlog GROUP BY ALL)""",
         "referral_compliance": f"""SELECT snapshot_date, facility_id, referral_count, matched_count,
             referral_count - matched_count AS non_compliant_count,
             {_pct('matched_count', 'referral_count')} AS compliance_rate_pct FROM k_referral""",

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cdcmart.catalog.driver_tables import ENROLMENT, EVENT, EVENTS_AS_OF, ORDERS_AS_OF, DriverTables, _id
 from cdcmart.fixed_values import UNAVAILABLE_VALUE
-from cdcmart.functions.columns import as_timestamp, millis_between
+from cdcmart.functions.columns import as_timestamp, millis_between, readable_quantity
 from cdcmart.functions.derive import with_read_aliases
 from cdcmart.operators import asof, changelog, metrics
 from cdcmart.operators.lookup import lookup
@@ -615,6 +615,28 @@ def _(t):
     )
 
 
+@register("merged_unique_patients")
+def _(t):
+    """The same from stored daily states, merged over the days; reported is whether the
+    estimate is within 5 per cent of the exact number."""
+    days = ("2001-03-01", "2001-08-31")
+    path = shared_folder(t.spark, "deviation-states")
+    sinks.replace_table(kpis.mv_daily_deviation_kpis(t, ORDERS_AS_OF, states=True), path)
+    merged = reports.merged_unique_patients(sinks.read_table(t.spark, path), *days)
+    exact = reports.deviation_unique_patients(kpis.deviation_occurrences(t, ORDERS_AS_OF), *days)
+    dims = ["protocol_definition_id", "deviation_type"]
+    both = merged.withColumnRenamed("affected_patients", "_estimate").join(exact, dims)
+    close = F.abs(F.col("_estimate") - F.col("affected_patients")) <= F.greatest(F.col("affected_patients") * 0.05, F.lit(1.0))
+    return both.select(*dims, "affected_patients", close.alias("estimate_close"))
+
+
+@register("readable_quantities")
+def _(t):
+    """Rows read by each user, as text."""
+    rows = t.query_log().groupBy("user").agg(F.sum("read_rows").alias("_rows"), F.count(F.lit(1)).alias("queries"))
+    return rows.select("user", "queries", readable_quantity(F.col("_rows")).alias("rows_read"))
+
+
 @register("referral_compliance")
 def _(t):
     return reports.referral_compliance(_referral_kpis(t))
