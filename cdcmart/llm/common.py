@@ -21,6 +21,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of a batch that are worked on at once.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch that goes to a Python worker.
+BATCH_ROWS = 1000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -210,7 +212,12 @@ def no_spaces(text: Column) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package as a zip file, once a session; they need not have it installed."""
+    """Give the executors this package as a zip file, once a session; they need not have it installed.
+
+    Rows are whole texts, so Arrow batches are held to ``BATCH_ROWS`` of them, which bounds
+    the memory of the workers and the executors' memory outside the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     name = "cdcmart_llm.zip"
     if any(f.endswith(name) for f in sc.listFiles):

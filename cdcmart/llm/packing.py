@@ -38,7 +38,7 @@ OPEN_WINDOWS = 16
 MERGE = 32
 END_ID = 1
 #: Runs of letters or signs, and parts between white space, that a worker remembers (some 150 bytes each).
-RUNS, PARTS = 1_000_000, 1_500_000
+RUNS, PARTS = 250_000, 250_000
 
 # Latin text without number signs and free accents: lower case is the same letter by letter, no form composes.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]*+")

@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, toxic = shared.value
-        counts = np.zeros((2, 3, BUCKETS), np.int64)  # beginning; other, toxic, all; bucket
+        counts = np.zeros((2, 3, BUCKETS), np.int32)  # beginning; other, toxic, all; bucket
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             missing = np.asarray(ids.is_null())
@@ -143,15 +143,15 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
                 row, _, _, *buckets = _tokens(data, offsets)
                 of = kind[start + row]
                 for k, b in enumerate(buckets):
-                    counts[k, 2] += np.bincount(b, minlength=BUCKETS)
+                    counts[k, 2] += np.bincount(b, minlength=BUCKETS).astype(np.int32)
                     for c in (0, 1):
-                        counts[k, c] += np.bincount(b[of == c], minlength=BUCKETS)
+                        counts[k, c] += np.bincount(b[of == c], minlength=BUCKETS).astype(np.int32)
         for k in (0, 1):
             used = np.flatnonzero(counts[k, 2])
             for at in range(0, len(used), 50_000):
                 part = used[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part * 2 + k), *(pa.array(counts[k, c, part]) for c in range(3))], names=["bucket", "other", "toxic", "every"]
+                    [pa.array(part * 2 + k), *(pa.array(counts[k, c, part].astype(np.int64)) for c in range(3))], names=["bucket", "other", "toxic", "every"]
                 )
 
     rows = docs.select("doc_id", "text").mapInArrow(count, "bucket long, other long, toxic long, every long")
