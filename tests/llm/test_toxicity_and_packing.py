@@ -158,3 +158,20 @@ def test_a_piece_goes_where_it_leaves_least_room():
     assert [[p[0] for p in pieces] for _, pieces in done] == [[2, 3]]
     done = [w for doc, n in ((4, 8), (5, 9)) for w in packer.add(doc, ids(n))]
     assert [p[0] for p in done[0][1]] == [0, 1, 5] and sum(len(p[2]) for p in done[0][1]) == 40
+
+
+def test_whole_words_count_in_every_script(spark, documents, words):
+    rng = random.Random(5)
+    bad = ["worthlessgit", "“retardon”", "—кретинище", "今天的笨蛋很多"]
+    good = ["worthy", "retail", "крепость", "今天的天气很好"]
+    rows, labels = [], []
+    for i in range(480):
+        text = words(40, 9000 + i).split() + good
+        toxic = i % 4 == 0
+        for _ in range(3 if toxic else 0):
+            text.insert(rng.randrange(len(text)), bad[i // 4 % 4])
+        rows.append((i, " ".join(text), "s"))
+        labels.append((i, 1, int(toxic)))
+    got = toxicity.report(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    assert {i // 4 % 4 for i in (r.doc_id for r in got) if i % 4 == 0} == {0, 1, 2, 3}
+    assert [r.doc_id for r in got if r.predicted != (r.doc_id % 4 == 0)] == []
