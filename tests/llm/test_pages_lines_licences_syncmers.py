@@ -145,3 +145,20 @@ def test_fingerprints_of_odd_documents(documents, words):
     one = syncmers.report(documents([(7, "a b c d e f g h", "s")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert syncmers.report(documents([])).count() == 0
+
+
+def test_everyday_words_and_line_breaks_hide_no_licence():
+    # document frequencies of a million files; the other words of the lines are in most of them
+    df = {"released": 20_000, "licensed": 20_000, "under": 700_000, "the": 990_000, "mit": 9_000, "license": 30_000}
+    scorer = license_scan.Scorer(1_000_000, df)
+    common = {t: 600_000 for t in "see copying by for our about all these files please".split()}
+    for text in ("// Released under the MIT license by Acme", "# Licensed under the MIT license, see COPYING", "about all these files: released\n# under the\n# MIT\n# license for our files " + "please see all " * 40):
+        name, score, _ = scorer.own(text, {**common, "acme": 3})
+        assert name == "MIT" and score > 0.9
+    assert scorer.own("the licence of the driver expired", {})[0] is None
+
+
+def test_frequencies_of_all_terms_are_counted(spark, documents):
+    documents([])
+    files = spark.createDataFrame([("see our licence",), ("see me, see",), (None,)], "text string")
+    assert {r.term: r.df for r in license_scan.frequencies(files).collect()} == {"see": 2, "our": 1, "licence": 1, "me": 1}
