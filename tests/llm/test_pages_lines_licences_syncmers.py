@@ -162,3 +162,11 @@ def test_frequencies_of_all_terms_are_counted(spark, documents):
     documents([])
     files = spark.createDataFrame([("see our licence",), ("see me, see",), (None,)], "text string")
     assert {r.term: r.df for r in license_scan.frequencies(files).collect()} == {"see": 2, "our": 1, "licence": 1, "me": 1}
+
+
+def test_leading_tokens_alone_make_no_template(documents, words):
+    names = [words(1, 700 + i) for i in range(40)]
+    rows = [(i, f"from typing import {names[i]}\nHow to make {names[i]} quickly{i % 2 * 'er'}{names[39 - i]}\nSee page {i}\n{words(9, i)}", "s") for i in range(40)]
+    got = template_lines.deduplicate(documents(rows)).collect()
+    assert len(set(names)) > 30 and {r.n_dropped for r in got} == {1}
+    assert all(r.text.startswith("from typing import ") and "How to make" in r.text and "See page" not in r.text for r in got)
