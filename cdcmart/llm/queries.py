@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdcmart.llm import exact_dedup, jaccard_join, license_scan, mixing, packing, site_style_tree, suffix_dedup, syncmers, template_lines, toxicity
+from cdcmart.llm import (
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    mixing,
+    packing,
+    periodic_runs,
+    secret_scan,
+    site_style_tree,
+    spelling_variants,
+    suffix_dedup,
+    syncmers,
+    template_lines,
+    toxicity,
+)
 from cdcmart.llm.common import ship_package, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,8 +78,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return spelling_variants.report(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_site_style_tree, op3_template_lines, op4_exact_dedup, op5_packing, op6_syncmers, op7_jaccard_join, op8_license_scan, op9_suffix_dedup, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_site_style_tree,
+        op3_template_lines,
+        op4_exact_dedup,
+        op5_packing,
+        op6_syncmers,
+        op7_jaccard_join,
+        op8_license_scan,
+        op9_suffix_dedup,
+        op10_toxicity,
+        op11_periodic_runs,
+        op12_spelling_variants,
+        op13_secret_scan,
+    )
 }
 
 _SQL_MIXING = r"""
