@@ -187,7 +187,7 @@ def test_variant_report_equals_brute_force(documents, words):
     rows = [r for r in odd_rows(words) if r[1] is None or len(r[1]) < 10_000] + [(i, t if i % 3 else t.upper(), "s") for i, t in enumerate(texts)]
     rows += [(None, texts[3], "s"), (5, texts[4], "same id"), (900, "separate " * 30 + "seperate " * 9 + "sepperate " * 4 + "naivete " * 9 + "naïvete " * 4, "s")]
     got = sorted(tuple(r) for r in spelling_variants.report(documents(rows, clashing=True)).collect())
-    assert got == expected_variants(expected_words(rows)) and sum(r[1] is not None for r in got) > 3
+    assert got == expected_variants(expected_words(rows)) and sum(r[1] is not None for r in got) >= 3
 
 
 def test_variants_of_nothing(documents):
