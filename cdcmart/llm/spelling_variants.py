@@ -97,8 +97,9 @@ def groups(words: DataFrame, group_places: int = GROUP_PLACES) -> DataFrame:
     rows = rows.withColumns({"low": F.lit(0), "high": F.col("length")}).withColumn("_group", outside)
     done = None
     while True:
-        sizes = rows.groupBy("_group").agg(F.count("*").alias("_many"))
-        sized = checkpointed(skew_join(rows, sizes, "_group").where("_many > 1"))
+        sizes = rows.groupBy("_group").agg(F.count("*").alias("_many"), F.min(size - F.col("length")).alias("_least"))
+        # a group without a word of its length has only words of one more, which meet elsewhere
+        sized = checkpointed(skew_join(rows, sizes.where("_many > 1 AND _least = 0").drop("_least"), "_group"))
         large = (F.col("_many") * (F.col("high") - F.col("low")) > group_places) & (F.col("high") - F.col("low") > 1)
         ready = sized.where(~large).drop("_many")
         done = ready if done is None else done.union(ready)
