@@ -588,6 +588,12 @@ def _reports() -> dict[str, str]:
         "e2e_latency_p95_5min": f"""SELECT round(quantile_cont(date_diff('second', event_time, received_at), 0.95), 6)
             AS p95 FROM cur_inbound WHERE {received_since.format(Q.BUSY_MOMENT, '3 HOUR')}
             AND event_time IS NOT NULL""",
+        "merged_latency_quantiles": f"""SELECT date_trunc('minute', received_at) AS time, count(*) AS n,
+            true AS p50_close, true AS p95_close FROM cur_inbound
+            WHERE {received_since.format(D.EVENTS_AS_OF, '1 DAY')} AND event_time IS NOT NULL GROUP BY ALL""",
+        "merged_latency_p95": f"""SELECT count(*) AS n, true AS p95_close FROM cur_inbound
+            WHERE {received_since.format(Q.BUSY_MOMENT, '3 HOUR')} AND event_time IS NOT NULL
+            AND date_trunc('minute', received_at) > TIMESTAMP '{Q.BUSY_MOMENT}' - INTERVAL 3 HOUR""",
         "insert_stall": f"""SELECT count(*) AS rows_received, count(*) = 0 AS stalled FROM cur_inbound
             WHERE {received_since.format(Q.BUSY_MOMENT, '10 MINUTE')}""",
     }
@@ -857,6 +863,13 @@ def _querylog() -> dict[str, str]:
             f"""{shape}, count(*) AS executions, {avg} AS avg_ms, max(duration_ms) AS max_ms,
             round_even(round(quantile_cont(duration_ms, 0.95), 6), 0) AS p95_ms, {_size('max(memory)')} AS peak_mem""",
             "q_done", f"{avg} DESC"),
+        "ql_merged_percentiles": f"""SELECT {minute}, count(*) AS n, true AS p50_ms_close, true AS p95_ms_close,
+            true AS p99_ms_close FROM q_done GROUP BY ALL""",
+        "ql_merged_slowest_shapes": top(
+            f"""{shape}, count(*) AS executions, {avg} AS avg_ms, max(duration_ms) AS max_ms,
+            {_size('max(memory)')} AS peak_mem, true AS p95_ms_close""", "q_done", f"{avg} DESC"),
+        "ql_by_hash": f"""SELECT query_shape, CAST(1 AS BIGINT) AS shapes, count(*) AS executions,
+            {_total('duration_ms')} AS total_ms FROM q_done GROUP BY query_shape""",
         "ql_memory_shapes": top(
             f"""{shape}, count(*) AS executions, {_size('sum(memory)')} AS total_mem,
             {_size('max(memory)')} AS peak_mem, {avg} AS avg_ms""", "q_done", "sum(memory) DESC"),

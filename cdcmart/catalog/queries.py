@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from cdcmart.catalog.driver_tables import ENROLMENT, EVENT, EVENTS_AS_OF, ORDERS_AS_OF, DriverTables, _id
 from cdcmart.fixed_values import UNAVAILABLE_VALUE
-from cdcmart.functions.columns import as_timestamp, millis_between, readable_quantity
+from cdcmart.functions.columns import as_timestamp, millis_between, query_shape, readable_quantity
 from cdcmart.functions.derive import with_read_aliases
-from cdcmart.operators import asof, changelog, metrics
+from cdcmart.operators import asof, changelog, metrics, quantiles
 from cdcmart.operators.lookup import lookup
 from cdcmart.plans import backfill, dimensions, kpis, marts, quality, querylog, reports, rollups
 from cdcmart.session import configure, shared_folder
@@ -673,6 +673,62 @@ def _(t):
     return reports.e2e_latency_p95_5min(_stored_columns_only(t), BUSY_MOMENT, "3 HOUR").select(F.round("p95", 6).alias("p95"))
 
 
+def _stored_states(t: DriverTables, purpose: str, rows: DataFrame, states: Callable[[DataFrame], DataFrame], dims: list[str], others=None) -> DataFrame:
+    """Quantile states of four batches of rows, stored; two of them are merged before the others arrive."""
+    path = shared_folder(t.spark, purpose)
+    for batch in range(4):
+        part = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(4)) == batch)
+        sinks.write_partials(states(part), path, batch)
+        if batch == 1:
+            sinks.merge_partials(t.spark, path, lambda s: quantiles.merge_quantiles(s, dims, others).select(*s.columns))
+    return sinks.read_partials(t.spark, path)
+
+
+def _timed_events(t: DriverTables) -> DataFrame:
+    """Current inbound rows of a day with their latency, to hold estimates against."""
+    rows = reports._latencies(_stored_columns_only(t), EVENTS_AS_OF, "1 DAY")
+    return rows.select("id", "event_time", "received_at", "_latency", F.date_trunc("MINUTE", "received_at").alias("time"))
+
+
+@register("merged_latency_quantiles")
+def _(t):
+    """Per minute; reported is whether the merged estimates lie within the sketch's rank error."""
+    rows = _timed_events(t)
+    states = _stored_states(t, "latency-states", rows.drop("time", "_latency"), reports.latency_states, ["time"])
+    return quantiles.rank_checks(reports.merged_latency(states), rows, ["time"], "_latency", reports.LATENCY_RANKS)
+
+
+@register("merged_latency_p95")
+def _(t):
+    """The minutes of a look-back merged into one state."""
+    since = "2024-01-15 09:00:00"
+    rows = reports._latencies(_stored_columns_only(t), BUSY_MOMENT, "3 HOUR")
+    within = rows.where(F.date_trunc("MINUTE", "received_at") > F.lit(since).cast("timestamp")).select("id", "event_time", "received_at", "_latency")
+    states = _stored_states(t, "p95-states", within.drop("_latency"), reports.latency_states, ["time"])
+    return quantiles.rank_checks(reports.merged_latency_p95(states, BUSY_MOMENT, "3 HOUR"), within, [], "_latency", {"p95": 0.95})
+
+
+def _duration_states(t: DriverTables) -> DataFrame:
+    others = {"sample_query": F.min("sample_query"), "total_ms": F.sum("total_ms"), "max_ms": F.max("max_ms"), "peak": F.max("peak")}
+    return _stored_states(t, "duration-states", t.query_log(), querylog.duration_states, ["time", querylog.SHAPE, "user"], others)
+
+
+@register("ql_merged_percentiles")
+def _(t):
+    rows = querylog.finished(t.query_log()).withColumn("time", F.date_trunc("MINUTE", "event_time"))
+    merged = querylog.merged_latency_percentiles(_duration_states(t))
+    return quantiles.rank_checks(merged, rows, ["time"], "duration_ms", querylog.QUERY_RANKS)
+
+
+@register("ql_merged_slowest_shapes")
+def _(t):
+    """As ``ql_slowest_shapes``; whether its p95 lies within the rank error stands for the number."""
+    top = querylog.merged_slowest_shapes(_duration_states(t))
+    rows = querylog.finished(t.query_log()).withColumn(querylog.SHAPE, query_shape(F.col("query")))
+    close = quantiles.rank_checks(top, rows, [querylog.SHAPE, "user"], "duration_ms", {"p95_ms": 0.95}).drop("n")
+    return top.drop("p95_ms").join(close, [querylog.SHAPE, "user"])
+
+
 @register("insert_stall")
 def _(t):
     return reports.insert_stall(_stored_columns_only(t), BUSY_MOMENT)
@@ -954,6 +1010,7 @@ def _register_querylog() -> None:
         "ql_error_breakdown",
         "ql_over_memory",
         "ql_cache_candidates",
+        "ql_by_hash",
     )
     for name in plain:
         register(name)(lambda t, name=name: getattr(querylog, name)(t.query_log()))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdcmart.fixed_values import HEAVY_QUERY_BYTES, QUERY_FAILED, QUERY_FINISHED, SYSTEM_QUERY_LIKE
-from cdcmart.functions.columns import count_where, query_shape, readable_size
+from cdcmart.functions.columns import count_where, query_hash, query_shape, readable_size
+from cdcmart.operators.quantiles import merge_quantiles, quantile_states, read_quantiles
 
 SHAPE = "query_shape"
 
@@ -99,6 +100,52 @@ def ql_slowest_shapes(log: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
+QUERY_RANKS = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+
+
+def duration_states(log: DataFrame) -> DataFrame:
+    """Stored states of the finished queries of a batch, per minute, shape and user: a quantile sketch of their
+    durations, and what the list of slowest shapes shows besides."""
+    shaped = finished(log).withColumns({"time": F.date_trunc("MINUTE", "event_time"), SHAPE: query_shape(F.col("query"))})
+    others = {
+        "sample_query": F.min("query"),
+        "total_ms": F.sum("duration_ms"),
+        "max_ms": F.max("duration_ms"),
+        "peak": F.max("memory"),
+    }
+    return quantile_states(shaped, ["time", SHAPE, "user"], "duration_ms", others)
+
+
+def merged_latency_percentiles(states: DataFrame) -> DataFrame:
+    """Percentiles per minute out of the states of any batches, shapes and users."""
+    return read_quantiles(merge_quantiles(states, ["time"]), QUERY_RANKS).orderBy("time")
+
+
+def merged_slowest_shapes(states: DataFrame, top: int = 10) -> DataFrame:
+    """The slowest shapes out of the states of any batches and minutes."""
+    others = {"sample_query": F.min("sample_query"), "total_ms": F.sum("total_ms"), "max_ms": F.max("max_ms"), "peak": F.max("peak")}
+    merged = read_quantiles(merge_quantiles(states, [SHAPE, "user"], others), {"p95_ms": 0.95})
+    return (
+        merged.withColumns({"avg_ms": F.bround(F.col("total_ms") / F.col("n"), 0), "peak_mem": readable_size(F.col("peak"))})
+        .withColumnRenamed("n", "executions")
+        .drop("total_ms", "peak")
+        .orderBy(F.desc("avg_ms"), "user", SHAPE)
+        .limit(top)
+    )
+
+
+def ql_by_hash(log: DataFrame) -> DataFrame:
+    """Finished queries by the hash of their shape, with the shape and how many shapes share the hash."""
+    hashed = finished(log).withColumn("_hash", query_hash(F.col("query")))
+    grouped = hashed.groupBy("_hash").agg(
+        F.min(query_shape(F.col("query"))).alias(SHAPE),
+        F.count_distinct(query_shape(F.col("query"))).alias("shapes"),
+        F.count(F.lit(1)).alias("executions"),
+        F.sum("duration_ms").alias("total_ms"),
+    )
+    return grouped.drop("_hash")
+
+
 def ql_memory_shapes(log: DataFrame, top: int = 10) -> DataFrame:
     return (
         _shapes(finished(log), F.sum("memory").alias("_total"), F.max("memory").alias("_peak"), _mean_ms())
