@@ -653,6 +653,9 @@ def _state_queries() -> dict[str, str]:
         "compacted_changelog": """SELECT id, status, _version, _is_deleted FROM deliveries
             QUALIFY row_number() OVER (PARTITION BY id ORDER BY _version DESC) = 1""",
         "rebuild_aggregates": marts["mv_deviation_trends_current"],
+        "rebuild_then_ingest": marts["mv_deviation_trends"],
+        "committed_batches": """SELECT status, count(*) AS rows, 'changes' AS form FROM deliveries GROUP BY status
+            UNION ALL SELECT status, count(*) AS rows, 'rollup' AS form FROM cur_deliveries GROUP BY status""",
         "asof_status": f"""SELECT d.snapshot_date, h.protocol_instance_id,
             arg_max(h.status, (h.changed_at, h.id)) AS status FROM ({asof_days}) d
             JOIN enrolment_moves h ON CAST(h.changed_at AS DATE) <= d.snapshot_date GROUP BY ALL""",

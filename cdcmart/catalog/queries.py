@@ -290,7 +290,7 @@ def _(t):
     name = "mv_ingestion_quality"
     mart, layout = marts.MARTS[name], ingest.Layout(shared_folder(t.spark, "merged"))
     for batch in range(8):
-        sinks.write_partials(marts.partials(_part_of(t["inbound_event_logs"], batch, 8), mart), layout.partials(name), batch)
+        ingest.store_states(t.spark, layout, name, marts.partials(_part_of(t["inbound_event_logs"], batch, 8), mart))
         if batch in (5, 6):
             ingest.merge_aggregate(t.spark, name, layout)
     return ingest.read_aggregate(t.spark, name, layout)
@@ -302,7 +302,7 @@ def _(t):
     name = "rollup_delivery_current"
     layout = ingest.Layout(shared_folder(t.spark, "merged-rollup"))
     for batch in range(4):
-        sinks.write_partials(rollups.rollup_partials(name, _part_of(t["intelligence_deliveries"], batch, 4)), layout.partials(name), batch)
+        ingest.store_states(t.spark, layout, name, rollups.rollup_partials(name, _part_of(t["intelligence_deliveries"], batch, 4)))
     ingest.merge_aggregate(t.spark, name, layout)
     return ingest.read_aggregate(t.spark, name, layout)
 
@@ -418,34 +418,75 @@ def _(t):
 
 @register("compacted_changelog")
 def _(t):
-    path = shared_folder(t.spark, "compact")
-    changes = t["intelligence_deliveries"]
-    pending, others = changes.where("status = 'PENDING'"), changes.where("status <> 'PENDING'")
+    name, layout = "intelligence_deliveries", ingest.Layout(shared_folder(t.spark, "compact"))
+    pending, others = t[name].where("status = 'PENDING'"), t[name].where("status <> 'PENDING'")
 
-    def store(rows: DataFrame, batch: str | None = None) -> None:
-        sinks.write_changelog(rows, path, "intelligence_deliveries", batch)
+    def store(rows: DataFrame) -> None:
+        ingest.load(t.spark, layout, name, rows)
 
-    # one batch and one load before, one batch in mid-compaction, one load after it
-    store(_part_of(pending, 0, 2), "first")
+    # two loads before, one in mid-compaction, one after it
+    store(_part_of(pending, 0, 2))
     store(_part_of(pending, 1, 2))
-    sinks.compact(t.spark, path, "intelligence_deliveries", 202401, before_delete=lambda: store(_part_of(others, 0, 2), "meanwhile"))
+    ingest.compact(t.spark, layout, name, 202401, before_commit=lambda: store(_part_of(others, 0, 2)))
     store(_part_of(others, 1, 2))
-    stored = readers.read_changelog(t.spark, path, "intelligence_deliveries")
-    newest = changelog.latest_by_version(stored, deleted=None)
+    newest = changelog.latest_by_version(ingest.read_log(t.spark, layout, name), deleted=None)
     return newest.select("id", "status", "_version", "_is_deleted")
 
 
 @register("rebuild_aggregates")
 def _(t):
-    root = shared_folder(t.spark, "rebuild")
-    names = ("deviations", "protocol_instances")
-    results = sinks.rebuild(
-        t.spark,
-        root,
-        {n: changelog.current(t, n) for n in names},
-        {"mv_deviation_trends": lambda tables: marts.build("mv_deviation_trends", tables)},
-    )
-    return results["mv_deviation_trends"]
+    """What was stored before the rebuild counts no more, in aggregates and changelogs alike."""
+    layout = ingest.Layout(shared_folder(t.spark, "rebuild"))
+    stale = t["deviations"].withColumn("deviation_type", F.lit("STALE"))
+    ingest.load(t.spark, layout, "deviations", stale)
+    ingest.store_states(t.spark, layout, "mv_deviation_trends", marts.partials(stale, marts.MARTS["mv_deviation_trends"]))
+    ingest.rebuild(t.spark, layout, {n: changelog.current(t, n) for n in ("deviations", "protocol_instances")})
+    return ingest.read_aggregate(t.spark, "mv_deviation_trends", layout)
+
+
+def _messages(t: DriverTables, table: str, layout: ingest.Layout) -> DataFrame:
+    """The messages of a table as text files, as they arrive."""
+    t.wire(table).write.text(f"{layout.root}/messages")
+    return t.spark.read.schema("value string").text(f"{layout.root}/messages")
+
+
+@register("rebuild_then_ingest")
+def _(t):
+    """A rebuild from half of the changes, while a running stream commits a quarter; the last quarter arrives afterwards."""
+    name, aggregate = "deviations", "mv_deviation_trends"
+    layout = ingest.Layout(shared_folder(t.spark, "rebuild-ingest"))
+    messages = _messages(t, name, layout)
+    quarter = F.pmod(F.xxhash64("value"), F.lit(4))
+
+    def arrive(number: int) -> None:
+        ingest.process_batch(messages.where(quarter == number), number, ingest.Ingest(name, (aggregate,)), layout)
+
+    arrive(0)  # replaced by the rebuild, which holds its changes as well
+    snapshot = decode_envelope(messages.where(quarter.isin(0, 1)), name)
+    ingest.rebuild(t.spark, layout, {name: snapshot}, before_commit=lambda: arrive(2))
+    arrive(3)
+    arrive(3)  # delivered again
+    return ingest.read_aggregate(t.spark, aggregate, layout)
+
+
+@register("committed_batches")
+def _(t):
+    """Micro-batches of which one is delivered again and one ends before its commit, with a merge and a compaction
+    in between: change rows of the log against the sum of the aggregate."""
+    name, aggregate = "intelligence_deliveries", "rollup_delivery_current"
+    layout = ingest.Layout(shared_folder(t.spark, "commits"))
+    messages = _messages(t, name, layout)
+    part = F.pmod(F.xxhash64("value"), F.lit(3))
+    for number in (0, 1, 1):
+        ingest.process_batch(messages.where(part == number), number, ingest.Ingest(name, (aggregate,)), layout)
+    changes = decode_envelope(messages.where(part == 2), name)
+    sinks.write_changelog(changes, layout.changelog(name), name, "ended-early")
+    sinks.write_partials(rollups.rollup_partials(aggregate, changes), layout.partials(aggregate), "ended-early")
+    ingest.merge_aggregate(t.spark, aggregate, layout)
+    ingest.process_batch(messages.where(part == 2), 2, ingest.Ingest(name, (aggregate,)), layout)
+    logged = ingest.read_log(t.spark, layout, name).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+    merged = ingest.read_aggregate(t.spark, aggregate, layout).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+    return logged.withColumn("form", F.lit("changes")).unionByName(merged.withColumn("form", F.lit("rollup")))
 
 
 # -- streaming --------------------------------------------------------------------
@@ -490,7 +531,7 @@ _register_streams()
 @register("stream_current_state")
 def _(t):
     layout = run_stream(t, "protocol_instances")
-    stored = readers.read_changelog(t.spark, layout.changelog("protocol_instances"), "protocol_instances")
+    stored = ingest.read_log(t.spark, layout, "protocol_instances")
     return changelog.latest_by_version(stored).select("id", "patient_id", "status", "enrolled_at", "_version")
 
 
@@ -501,11 +542,11 @@ def _(t):
     layout = ingest.Layout(shared_folder(t.spark, "arrival"))
     rows = t[name].where("NOT _is_deleted")
     for status in ("FIRST", "SECOND"):
-        sinks.write_changelog(rows.withColumn("status", F.lit(status)), layout.changelog(name), name)
-    stored = readers.read_changelog(t.spark, layout.changelog(name), name)
+        ingest.load(t.spark, layout, name, rows.withColumn("status", F.lit(status)))
+    stored = ingest.read_log(t.spark, layout, name)
     halves = [stored.where(F.col("status") == s) for s in ("SECOND", "FIRST")]  # the later half comes first
-    for n, half in enumerate(halves):
-        sinks.write_partials(rollups.rollup_partials(rollup, half), layout.partials(rollup), n)
+    for half in halves:
+        ingest.store_states(t.spark, layout, rollup, rollups.rollup_partials(rollup, half))
     state = changelog.latest_by_version(halves[0].unionByName(halves[1])).groupBy("status").agg(F.count("*").alias("rows"))
     merged = ingest.read_aggregate(t.spark, rollup, layout).groupBy("status").agg(F.count("*").alias("rows"))
     return state.withColumn("form", F.lit("state")).unionByName(merged.withColumn("form", F.lit("rollup")))
@@ -675,13 +716,13 @@ def _(t):
 
 def _stored_states(t: DriverTables, purpose: str, rows: DataFrame, states: Callable[[DataFrame], DataFrame], dims: list[str], others=None) -> DataFrame:
     """Quantile states of four batches of rows, stored; two of them are merged before the others arrive."""
-    path = shared_folder(t.spark, purpose)
+    layout = ingest.Layout(shared_folder(t.spark, purpose))
     for batch in range(4):
-        part = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(4)) == batch)
-        sinks.write_partials(states(part), path, batch)
+        part = states(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(4)) == batch))
+        ingest.store_states(t.spark, layout, purpose, part)
         if batch == 1:
-            sinks.merge_partials(t.spark, path, lambda s: quantiles.merge_quantiles(s, dims, others).select(*s.columns))
-    return sinks.read_partials(t.spark, path)
+            ingest.merge_states(t.spark, layout, purpose, lambda s: quantiles.merge_quantiles(s, dims, others).select(*s.columns), part.schema)
+    return ingest.read_states(t.spark, layout, purpose, part.schema)
 
 
 def _timed_events(t: DriverTables) -> DataFrame:

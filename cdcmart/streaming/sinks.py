@@ -1,10 +1,10 @@
-"""Stored tables: layout, idempotent writes, replacement, retention, compaction."""
+"""Stored tables: layout, idempotent writes, replacement, retention."""
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from cdcmart.fixed_values import LOG_RETENTION_DAYS, RETAINED_TABLES
 from cdcmart.functions.columns import as_timestamp, month_of
 from cdcmart.operators.changelog import ARRIVAL, latest_by_version
-from cdcmart.sources.readers import folder_exists, read_changelog
+from cdcmart.sources.readers import folder_exists
 from cdcmart.sources.schemas import TABLES
 
 BACKFILL = "backfill"
-MERGED = "merged-"
-_MERGES = "_merges"
 
 
 def new_batch(kind: str) -> str:
@@ -26,11 +24,6 @@ def new_batch(kind: str) -> str:
     return f"{kind}-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def batches_of(spark: SparkSession, path: str) -> list[str]:
-    """Names of the batches below a folder, at this moment."""
-    return [n.removeprefix("batch_id=") for n in _children(spark, path) if n.startswith("batch_id=")]
-
-
 def _children(spark: SparkSession, path: str) -> list[str]:
     if not folder_exists(spark, path):
         return []
@@ -39,7 +32,7 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in files.listStatus(folder))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -92,53 +85,9 @@ def write_partials(states: DataFrame, path: str, batch_id: int | str) -> None:
     )
 
 
-def read_partials(spark: SparkSession, path: str, declared: str | None = None) -> DataFrame:
-    """Every state once: what a merge has replaced is left out, and a merge that
-    has not been entered in the log does not count yet.
-
-    With the ``declared`` columns no file is opened to find them out, and a folder
-    nothing was written to is empty.
-    """
-    if declared and not folder_exists(spark, path):
-        return spark.createDataFrame([], declared)
-    reader = spark.read.schema(f"{declared}, batch_id string") if declared else spark.read
-    states = reader.parquet(path).withColumn("batch_id", F.col("batch_id").cast("string"))
-    merges = _merge_log(spark, path)
-    done = merges.select(F.col("merged").alias("batch_id")).distinct()
-    gone = merges.select(F.col("replaced").alias("batch_id")).distinct()
-    single = states.where(~F.col("batch_id").startswith(MERGED))
-    merged = states.where(F.col("batch_id").startswith(MERGED)).join(done, "batch_id", "left_semi")
-    return single.unionByName(merged).join(gone, "batch_id", "left_anti").drop("batch_id")
-
-
-def _merge_log(spark: SparkSession, path: str) -> DataFrame:
-    declared = "merged string, replaced string"
-    log = f"{path}/{_MERGES}"
-    return spark.read.schema(declared).parquet(log) if folder_exists(spark, log) else spark.createDataFrame([], declared)
-
-
-def merge_partials(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> list[str]:
-    """Put the states of all batches of this moment into one batch; returns what it replaces.
-
-    ``merge`` turns states into fewer states of the same columns. The merged batch
-    counts from the moment its entry in the log is committed, which is one file;
-    batches that arrive meanwhile are not touched. What it replaces is deleted by
-    the next merge, so that readers of this moment can finish.
-    """
-    log = _merge_log(spark, path)
-    old = {r["replaced"] for r in log.select("replaced").distinct().collect()}
-    done = {r["merged"] for r in log.select("merged").distinct().collect()}
-    batches = [b for b in batches_of(spark, path) if b not in old and (b in done or not b.startswith(MERGED))]
-    for name in old.intersection(batches_of(spark, path)):
-        _delete(spark, f"{path}/batch_id={name}")
-    if len(batches) < 2:
-        return []
-    name = new_batch(MERGED.rstrip("-"))
-    states = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("string"))
-    write_partials(merge(states.where(F.col("batch_id").isin(batches)).drop("batch_id")), path, name)
-    entry = spark.createDataFrame([(name, b) for b in batches], "merged string, replaced string")
-    entry.coalesce(1).write.mode("append").parquet(f"{path}/{_MERGES}")
-    return batches
+def read_partials(spark: SparkSession, path: str) -> DataFrame:
+    """Every state below a path that is not kept under a commit log."""
+    return spark.read.parquet(path).drop("batch_id")
 
 
 def append_snapshot(df: DataFrame, path: str) -> None:
@@ -160,9 +109,9 @@ def merge_snapshots(spark: SparkSession, path: str, keys: Sequence[str], day: da
     kept = spark.read.schema(newest.schema).parquet(staged)
     kept.coalesce(1).write.mode("append").partitionBy("snapshot_date").parquet(path)
     for file in files:
-        _delete(spark, file)
+        delete(spark, file)
     left = kept.count()
-    _delete(spark, staged)
+    delete(spark, staged)
     return left
 
 
@@ -179,7 +128,7 @@ def replace_table(df: DataFrame, path: str, keep_seconds: int = 3600) -> int:
     complete = _versions(spark, path)
     for old, following in zip(complete, complete[1:], strict=False):
         if following < version - keep_seconds * 10**9:
-            _delete(spark, f"{path}/data/version={old}")
+            delete(spark, f"{path}/data/version={old}")
     return version
 
 
@@ -226,71 +175,6 @@ def drop_expired_months(
             continue
         month = int(name.removeprefix("month="))
         if 197001 < month < keep_from:
-            _delete(spark, f"{path}/{name}")
+            delete(spark, f"{path}/{name}")
             dropped.append(month)
     return sorted(dropped)
-
-
-def compact(
-    spark: SparkSession, path: str, table: str, month: int, before_delete: Callable[[], None] | None = None
-) -> list[str]:
-    """Merge the batches that a month has now into one set of files; returns them.
-
-    Only superseded versions go. The newest version of a key stays even if it is
-    a delete, because an older version may sit in another month. The result is a
-    batch of a new name, and only the batches that were read are deleted, so a
-    batch that arrives meanwhile stays. If the job ends before it has deleted them,
-    rows are there twice with the same version, which no reader of the state sees.
-    ``before_delete`` runs between the two steps.
-    """
-    folder = f"{path}/month={month}"
-    batches = batches_of(spark, folder)
-    rows = (
-        spark.read.schema(f"{TABLES[table].stored_ddl()}, month int, batch_id string")
-        .parquet(path)
-        .where((F.col("month") == month) & F.col("batch_id").isin(batches))
-        .drop("month", "batch_id")
-    )
-    name = new_batch(MERGED.rstrip("-"))
-    (
-        latest_by_version(rows, TABLES[table].keys, deleted=None)
-        .withColumns({"month": F.lit(month), "batch_id": F.lit(name)})
-        .hint("rebalance")
-        .sortWithinPartitions(*TABLES[table].keys)
-        .write.mode("append")
-        .partitionBy("month", "batch_id")
-        .parquet(path)
-    )
-    if before_delete:
-        before_delete()
-    for batch in batches:
-        _delete(spark, f"{folder}/batch_id={batch}")
-    return batches
-
-
-def rebuild(
-    spark: SparkSession,
-    root: str,
-    snapshot: Mapping[str, DataFrame],
-    aggregates: Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]],
-) -> dict[str, DataFrame]:
-    """Start over from a fresh snapshot in a new generation folder.
-
-    Base tables are written anew and every aggregate is recomputed from them
-    alone, so nothing of the old generation can be counted twice. The pointer
-    moves last; until then readers keep the old generation.
-    """
-    generation = f"{root}/generation={time.time_ns()}"
-    for name, rows in snapshot.items():
-        write_changelog(rows, f"{generation}/base/{name}", name)
-    tables = {name: read_changelog(spark, f"{generation}/base/{name}", name) for name in snapshot}
-    results = {}
-    for name, compute in aggregates.items():
-        replace_table(compute(tables), f"{generation}/aggregates/{name}")
-        results[name] = read_table(spark, f"{generation}/aggregates/{name}")
-    spark.range(1).select(F.lit(generation).alias("generation")).write.mode("append").parquet(f"{root}/pointer")
-    return results
-
-
-def current_generation(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/pointer").agg(F.max("generation")).first()[0]

@@ -1,4 +1,3 @@
-import os
 import random
 from datetime import date, timedelta
 
@@ -10,6 +9,7 @@ from cdcmart.session import shared_folder
 from cdcmart.sources.envelope import decode_envelope
 from cdcmart.sources.readers import read_change_files, read_changelog
 from cdcmart.streaming import ingest, sinks
+from cdcmart.streaming.commits import Conflict
 from helpers import as_set, at, change_table, message, tables, uid
 
 
@@ -50,22 +50,22 @@ def run(spark, folder, layout, table="deviations"):
 def test_stream_equals_batch_and_replay_changes_nothing(spark, layout):
     enrolments = change_table(spark, "protocol_instances", *[{"id": uid(n), "patient_id": f"P{n}", "protocol_definition_id": uid(9),
                                                              "enrolled_at": at("2024-01-01T00:00:00")} for n in range(3)])
-    sinks.write_changelog(enrolments, layout.changelog("protocol_instances"), "protocol_instances")
+    ingest.load(spark, layout, "protocol_instances", enrolments)
     folder = write_files(spark, layout, deviation_messages(), 3)
     run(spark, folder, layout)
     changes = decode_envelope(spark.read.text(folder), "deviations")
     batch = {"deviations": changes, "protocol_instances": enrolments}
 
     def check():
-        stored = read_changelog(spark, layout.changelog("deviations"), "deviations")
+        stored = ingest.read_log(spark, layout, "deviations")
         assert stored.count() == changes.count()
         assert as_set(latest_by_version(stored)) == as_set(latest_by_version(changes))
         for name in ("mv_deviation_trends", "mv_deviation_by_protocol", "mv_deviation_by_patient"):
             assert as_set(ingest.read_aggregate(spark, name, layout)) == as_set(marts.build(name, batch)), name
-        assert spark.read.parquet(layout.dead("deviations")).count() == 1
+        assert len(layout.log(spark).folders("dead_letters/deviations")) == 1
 
     check()
-    batches = [p for p in os.listdir(layout.partials("mv_deviation_trends")) if p.startswith("batch_id=")]
+    batches = layout.log(spark).folders("partials/mv_deviation_trends")
     assert len(batches) >= 3
     # The same batch delivered again, under its own id.
     names = [f.path for f in spark.read.format("binaryFile").load(f"{folder}/*.txt").select("path").collect()]
@@ -91,12 +91,12 @@ def test_a_late_parent_is_repaired_by_batch_only(spark, layout):
                                                       "enrolled_at": at("2024-01-01T00:00:00")})
     late = change_table(spark, "protocol_instances", {"id": uid(0), "patient_id": "P0", "protocol_definition_id": uid(9),
                                                      "enrolled_at": at("2024-01-01T00:00:00")})
-    sinks.write_changelog(early, layout.changelog("protocol_instances"), "protocol_instances", 1)
+    ingest.load(spark, layout, "protocol_instances", early)
     rows = [{"id": uid(n), "protocol_instance_id": uid(n % 2), "deviation_type": "MISSED", "detected_at": at("2024-01-02T00:00:00")} for n in range(4)]
     changes = change_table(spark, "deviations", *rows)
     states = ingest.batch_states(spark, ingest.BY_PATIENT, changes, layout)
-    sinks.write_partials(states, layout.partials(ingest.BY_PATIENT), 0)
-    sinks.write_changelog(late, layout.changelog("protocol_instances"), "protocol_instances", 2)
+    ingest.store_states(spark, layout, ingest.BY_PATIENT, states)
+    ingest.load(spark, layout, "protocol_instances", late)
     streamed = {(r.patient_id, r.deviation_count) for r in ingest.read_aggregate(spark, ingest.BY_PATIENT, layout).collect()}
     assert streamed == {("", 2), ("P1", 2)}
     batch = marts.build("mv_deviation_by_patient", {"deviations": changes, "protocol_instances": early.unionByName(late)})
@@ -120,14 +120,22 @@ def test_month_pruning_retention_and_compaction(spark, layout):
     assert pruned.count() == 4
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    sinks.compact(spark, path, "intelligence_deliveries", 202401)
-    spark.catalog.clearCache()
-    compacted = read_changelog(spark, path, "intelligence_deliveries")
+    other = ingest.Layout(f"{layout.root}/committed")
+    for rows in (first, second):
+        ingest.load(spark, other, "intelligence_deliveries", rows)
+    pruned = ingest.read_log(spark, other, "intelligence_deliveries", since=date(2024, 1, 1))
+    assert pruned.count() == 4 and len(pruned.inputFiles()) < len(ingest.read_log(spark, other, "intelligence_deliveries").inputFiles())
+    ingest.compact(spark, other, "intelligence_deliveries", 202401)
+    compacted = ingest.read_log(spark, other, "intelligence_deliveries")
     assert {(r.id, r.status, r._is_deleted) for r in compacted.collect()} == {
         (uid(1), "DELIVERED", False), (uid(2), "FAILED", True), (uid(3), "PENDING", False)
     }
+    # retention holds on reading, before and after the months are dropped
+    assert ingest.read_log(spark, other, "intelligence_deliveries", as_of=at("2024-02-01T00:00:00")).count() == 2
+    assert [f.split("/")[0] for f in ingest.expire(spark, other, "intelligence_deliveries", date(2024, 2, 1))] == ["month=202306"]
+    assert ingest.read_log(spark, other, "intelligence_deliveries").count() == 2 and ingest.expire(spark, other, "facility", date(2024, 2, 1)) == []
     assert sinks.drop_expired_months(spark, path, "intelligence_deliveries", date(2024, 2, 1)) == [202306]
-    assert read_changelog(spark, path, "intelligence_deliveries").count() == 2
+    assert read_changelog(spark, path, "intelligence_deliveries").count() == 4
     assert sinks.drop_expired_months(spark, path, "facility", date(2024, 2, 1)) == []
     kept = sinks.apply_retention(first, "created_at", "2024-01-31 00:00:00")
     assert {r.id for r in kept.collect()} == {uid(1), uid(2)}
@@ -168,14 +176,21 @@ def test_scheduled_refresh_runs(spark, layout):
     assert len(done) >= 2 and sinks.read_table(spark, f"{layout.root}/kpi").count() == 1
 
 
-def test_rebuild_doubles_nothing(spark, layout):
+def test_rebuild_doubles_nothing_and_streams_go_on(spark, layout):
     rows = [{"id": uid(n), "deviation_type": "MISSED", "detected_at": at("2024-01-02T00:00:00")} for n in range(5)]
     snapshot = {"deviations": change_table(spark, "deviations", *rows)}
-    compute = {"mv_deviation_trends": lambda t: marts.build("mv_deviation_trends", t)}
+    total = lambda: [r.deviation_count for r in ingest.read_aggregate(spark, "mv_deviation_trends", layout).collect()]
+    only = ingest.Ingest("deviations", ("mv_deviation_trends",))
+    arrive = lambda n: ingest.process_batch(spark.createDataFrame([(message("c", {"id": uid(50 + n), "protocol_instance_id": uid(1), "step_instance_id": uid(2), "deviation_type": "MISSED", "detected_at": "2024-01-02T00:00:00Z"}, 90),)], "value string"), n, only, layout)
     for _ in range(2):
-        result = sinks.rebuild(spark, layout.root, snapshot, compute)["mv_deviation_trends"]
-        assert [r.deviation_count for r in result.collect()] == [5]
-    assert sinks.current_generation(spark, layout.root).startswith(layout.root)
+        ingest.rebuild(spark, layout, snapshot)
+        assert total() == [5]
+    arrive(0)
+    assert total() == [6]
+    ingest.rebuild(spark, layout, snapshot, before_commit=lambda: arrive(1))  # the first arrival is not in the snapshot, the second comes meanwhile
+    assert total() == [6]
+    arrive(1)
+    assert total() == [6] and ingest.read_log(spark, layout, "deviations").count() == 6
 
 
 def test_backfill_is_idempotent(spark, layout):
@@ -212,35 +227,100 @@ def test_streaming_buckets(spark, layout):
 
 
 def test_compaction_keeps_batches_that_arrive_meanwhile_and_later_loads(spark, layout):
-    path, name = layout.changelog("intelligence_deliveries"), "intelligence_deliveries"
+    name = "intelligence_deliveries"
     wave = lambda first, last: change_table(spark, name, *[delivery(n, "PENDING", n) for n in range(first, last)])
-    sinks.write_changelog(wave(0, 20), path, name, 1)
-    gone = sinks.compact(spark, path, name, 202401, before_delete=lambda: sinks.write_changelog(wave(20, 45), path, name, 2))
-    assert gone == ["1"]
+    store = lambda *part: ingest.load(spark, layout, name, wave(*part))
+    rows = lambda: ingest.read_log(spark, layout, name).count()
+    store(0, 10)
+    store(10, 20)
+    assert len(ingest.compact(spark, layout, name, 202401, before_commit=lambda: store(20, 45))) == 2
     for part in ((45, 50), (50, 60)):
-        sinks.write_changelog(wave(*part), path, name)
-    assert read_changelog(spark, path, name).count() == 60
-    sinks.compact(spark, path, name, 202401)
-    assert read_changelog(spark, path, name).count() == 60
-
-
-def test_merged_partials_count_once_whenever_a_merge_stops(spark, layout):
-    mart = marts.MARTS["mv_deviation_trends"]
-    path = layout.partials("mv_deviation_trends")
-    changes = change_table(spark, "deviations", {"id": uid(1), "deviation_type": "MISSED", "detected_at": at("2024-01-02T00:00:00")})
-    total = lambda: [r.deviation_count for r in ingest.read_aggregate(spark, "mv_deviation_trends", layout).collect()]
-    assert sinks.read_partials(spark, path, "deviation_count bigint").count() == 0
-    for batch in range(3):
-        sinks.write_partials(marts.partials(changes, mart), path, batch)
-    assert ingest.merge_aggregate(spark, "mv_deviation_trends", layout) == ["0", "1", "2"] and total() == [3]
-    # a merge that was written but not entered does not count
-    sinks.write_partials(marts.partials(changes, mart), path, sinks.MERGED + "unfinished")
-    assert total() == [3]
-    sinks.write_partials(marts.partials(changes, mart), path, 3)
-    assert total() == [4]
-    ingest.merge_aggregate(spark, "mv_deviation_trends", layout)
-    assert total() == [4]
-    assert not {"0", "1", "2"} & set(sinks.batches_of(spark, path))
+        store(*part)
+    assert rows() == 60
+    ingest.compact(spark, layout, name, 202401)
+    assert rows() == 60 and ingest.compact(spark, layout, name, 202401) == []
+
+
+class Stop(Exception):
+    pass
+
+
+def stop():
+    raise Stop
+
+
+def test_a_job_that_stops_between_any_two_writes_changes_no_count(spark, layout, monkeypatch):
+    name, aggregate = "deviations", "mv_deviation_trends"
+    only = ingest.Ingest(name, (aggregate, "mv_deviation_by_protocol"))
+    values = lambda n: spark.createDataFrame([(message("c", {"id": uid(n), "protocol_instance_id": uid(1), "step_instance_id": uid(2), "deviation_type": "MISSED", "detected_at": "2024-01-02T00:00:00Z"}, n + 1),), ("{broken",)], "value string")
+
+    def counts():
+        changes = ingest.read_log(spark, layout, name).count()
+        totals = [sum(r.deviation_count for r in ingest.read_aggregate(spark, a, layout).collect()) for a in only.aggregates]
+        dead = len(layout.log(spark).folders(f"dead_letters/{name}"))
+        return changes, *totals, dead
+
+    assert counts() == (0, 0, 0, 0)
+    for n in range(2):
+        ingest.process_batch(values(n), n, only, layout)
+    assert counts() == (2, 2, 2, 2)
+    writes = {"n": 0}
+    for broken_at in range(4):  # before the dead letters, the changelog, each aggregate
+        for writer in ("write_partials", "write_changelog"):
+            real = getattr(sinks, writer)
+
+            def counted(*args, real=real, **more):
+                writes["n"] += 1
+                if writes["n"] == broken_at + 1:
+                    raise Stop
+                return real(*args, **more)
+
+            monkeypatch.setattr(sinks, writer, counted)
+        writes["n"] = 0
+        with pytest.raises(Stop):
+            ingest.process_batch(values(2), 2, only, layout)
+        monkeypatch.undo()
+        assert counts() == (2, 2, 2, 2)
+    for job in (lambda: ingest.merge_aggregate(spark, aggregate, layout, before_commit=stop), lambda: ingest.compact(spark, layout, name, 202401, before_commit=stop),
+                lambda: ingest.rebuild(spark, layout, {name: ingest.read_log(spark, layout, name)}, before_commit=stop)):
+        with pytest.raises(Stop):
+            job()
+        assert counts() == (2, 2, 2, 2)
+    for _ in range(2):  # delivered twice
+        ingest.process_batch(values(2), 2, only, layout)
+    assert counts() == (3, 3, 3, 3)
+    assert len(ingest.merge_aggregate(spark, aggregate, layout)) == 3 and len(ingest.compact(spark, layout, name, 202401)) == 3
+    assert counts() == (3, 3, 3, 3)
+    assert len(ingest.vacuum(spark, layout, keep_seconds=0)) > 8 and counts() == (3, 3, 3, 3)
+
+
+def test_of_two_mergers_one_is_refused(spark, layout):
+    name, aggregate = "deviations", "mv_deviation_trends"
+    changes = change_table(spark, name, {"id": uid(1), "deviation_type": "MISSED", "detected_at": at("2024-01-02T00:00:00")})
+    total = lambda: sum(r.deviation_count for r in ingest.read_aggregate(spark, aggregate, layout).collect())
+    for _ in range(3):
+        ingest.store_states(spark, layout, aggregate, marts.partials(changes, marts.MARTS[aggregate]))
+        ingest.load(spark, layout, name, changes)
+    with pytest.raises(Conflict):
+        ingest.merge_aggregate(spark, aggregate, layout, before_commit=lambda: ingest.merge_aggregate(spark, aggregate, layout))
+    with pytest.raises(Conflict):
+        ingest.compact(spark, layout, name, 202401, before_commit=lambda: ingest.compact(spark, layout, name, 202401))
+    assert total() == 3 and ingest.read_log(spark, layout, name).count() == 1
+
+
+def test_the_log_starts_from_its_summary_and_an_entry_is_created_once(spark, layout):
+    log = layout.log(spark)
+    for n in range(45):
+        assert log.commit({"t": [f"batch_id={n}"]}, {"t": [f"batch_id={n - 1}"]} if n % 2 else None, run="r", batch=n) == n + 1
+    assert log.commit({"t": ["again"]}, run="r", batch=44) is None
+    state = layout.log(spark).state()
+    assert (state.number, state.done, len(state.live["t"])) == (45, {"r": 44}, 23)
+    whole = layout.log(spark).state_at(-60)
+    assert (whole.live, whole.done) == (state.live, state.done)
+    assert not log._create(f"{45:020d}.entry.json", {}) and log._create(f"{46:020d}.entry.json", {"add": {}, "remove": {}, "run": None, "batch": None, "notes": {"a": 1}})
+    with pytest.raises(Conflict):
+        log.commit({}, expected={"a": 2})
+    assert log.commit({}, expected={"a": 1}) == 47
 
 
 def test_a_new_checkpoint_overwrites_nothing(spark, layout):
@@ -256,7 +336,7 @@ def test_equal_versions_go_to_the_later_batch(spark, layout, partitions):
         values = [message("c", row, 9)] + [message("c", {**row, "id": uid(2 + i)}, 9) for i in range(6)]
         batch = spark.createDataFrame([(v,) for v in values], "value string").repartition(partitions)
         ingest.process_batch(batch, n, only, layout)
-    stored = read_changelog(spark, layout.changelog("intelligence_deliveries"), "intelligence_deliveries")
+    stored = ingest.read_log(spark, layout, "intelligence_deliveries")
     for rows in (stored, stored.orderBy(stored._arrival.desc()), stored.orderBy("_arrival")):
         assert {r.status for r in latest_by_version(rows).collect()} == {"DELIVERED"}
     assert {r.status for r in ingest.read_aggregate(spark, "rollup_delivery_current", layout).collect()} == {"DELIVERED"}
