@@ -640,6 +640,7 @@ def _state_queries() -> dict[str, str]:
             status, enrolled_at FROM cur_enrolments""",
         "rollup_step_current": """SELECT protocol_instance_id, id, action_id, state, completion_status
             FROM cur_steps""",
+        "rollup_deviation_current": "SELECT protocol_instance_id, id, deviation_type FROM cur_devs",
         "rollup_delivery_current": """SELECT id, destination, action_type, subject, status, attempt_count, created_at
             FROM cur_deliveries""",
         "argmax_merge": """SELECT id, destination, action_type, subject, status, attempt_count, created_at,
@@ -911,6 +912,10 @@ def _kpis() -> dict[str, str]:
         "mv_daily_event_kpis": "SELECT * FROM k_event",
         "mv_daily_adoption_kpis": "SELECT * FROM k_adoption",
         "mv_daily_referral_kpis": "SELECT * FROM k_referral",
+        "event_kpis_from_state": "SELECT * FROM k_event",
+        "adoption_kpis_from_state": "SELECT * FROM k_adoption",
+        "referral_kpis_from_state": "SELECT * FROM k_referral",
+        "compliance_kpis_from_states": "SELECT * FROM k_compliance",
         "backfill_daily_compliance": "SELECT * FROM k_backfill",
     }
 

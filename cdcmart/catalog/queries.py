@@ -21,7 +21,7 @@ from cdcmart.session import configure, shared_folder
 from cdcmart.sources import readers
 from cdcmart.sources.envelope import dead_letters, decode_envelope, parse_envelope
 from cdcmart.sources.schemas import TABLES
-from cdcmart.streaming import ingest, sinks
+from cdcmart.streaming import ingest, maintain, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -364,6 +364,53 @@ register("mv_daily_adoption_kpis")(_adoption_kpis)
 register("mv_daily_referral_kpis")(_referral_kpis)
 
 
+KEPT = {n: state.Kept(n, c) for n, c in (("inbound_event_logs", "event_time"), ("compliance_event_logs", "received_at"))}
+
+
+def _kept_tables(t: DriverTables, names: tuple[str, ...]) -> Mapping[str, DataFrame]:
+    """Tables of which some come from stored state: three upserts of versions in mixed order, the first of them run twice;
+    events of the KPI window only."""
+    layout = ingest.Layout(shared_folder(t.spark, "state"))
+    for name in names:
+        t[name].write.parquet(f"{layout.root}/changes/{name}")
+        changes = t.spark.read.schema(t[name].schema).parquet(f"{layout.root}/changes/{name}")
+        for part in (2, 0, 0, 1):
+            rows = changes.where(F.pmod(F.xxhash64("id", "_version"), F.lit(3)) == part)
+            state.upsert(t.spark, layout, KEPT[name], rows)
+    earliest = {"inbound_event_logs": t.spark.range(1).select(kpis.months_before(EVENTS_AS_OF, kpis.KPI_WINDOW_MONTHS)).first()[0]}
+    return changelog.Resolved(t, {n: state.read_current(t.spark, layout, KEPT[n], earliest.get(n)) for n in names})
+
+
+@register("compliance_kpis_from_states")
+def _(t):
+    """Compliance kept up by three refreshes, after loads of the versions in mixed order; the second refresh meets late
+    versions and deletes, the third one nothing new."""
+    layout = ingest.Layout(shared_folder(t.spark, "compliance"))
+    for parts in ((1, 2), (0,), ()):
+        for name in maintain.ROLLUPS:
+            rows = t[rollups.ROLLUPS[name][0]]
+            for part in parts:
+                some = rows.where(F.pmod(F.xxhash64("id", "_version"), F.lit(3)) == part)
+                ingest.store_states(t.spark, layout, name, rollups.rollup_partials(name, some))
+        maintain.refresh_compliance(t.spark, layout, ORDERS_AS_OF)
+    return maintain.read_compliance(t.spark, layout)
+
+
+@register("event_kpis_from_state")
+def _(t):
+    return kpis.mv_daily_event_kpis(_kept_tables(t, tuple(KEPT)), EVENTS_AS_OF)
+
+
+@register("adoption_kpis_from_state")
+def _(t):
+    return kpis.mv_daily_adoption_kpis(_kept_tables(t, ("inbound_event_logs",)), EVENTS_AS_OF)
+
+
+@register("referral_kpis_from_state")
+def _(t):
+    return kpis.mv_daily_referral_kpis(_kept_tables(t, tuple(KEPT)), EVENTS_AS_OF)
+
+
 def _backfilled(t: DriverTables) -> DataFrame:
     return backfill.backfill_daily_compliance(t, *BACKFILL_RANGE, refreshed_at=ORDERS_AS_OF)
 

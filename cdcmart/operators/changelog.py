@@ -7,7 +7,7 @@ sends one row per map task, not all of them, to the task that owns the key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +43,32 @@ def latest_by_version(
     return latest.where(~F.col(deleted)).drop(ARRIVAL) if deleted else latest
 
 
-def _version_order(df: DataFrame, version: str) -> Column:
+def version_order(df: DataFrame, version: str) -> Column:
     """What decides between states of a key: the version, then the order of arrival."""
     at, row = (F.coalesce(F.col(f"{ARRIVAL}.{f}"), F.lit(0)) if ARRIVAL in df.columns else F.lit(0) for f in ("at", "row"))
     return F.struct(F.col(version).alias("version"), at.cast("bigint").alias("at"), row.cast("bigint").alias("row"))
 
 
+class Resolved(Mapping):
+    """Tables by name, of which those in ``resolved`` are current state already, one row per key."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], resolved: Mapping[str, DataFrame]) -> None:
+        self.tables, self.resolved = tables, resolved
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.resolved[name] if name in self.resolved else self.tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter({*self.tables, *self.resolved})
+
+    def __len__(self) -> int:
+        return len({*self.tables, *self.resolved})
+
+
 def current(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
-    """The current, non-deleted rows of a changelog table."""
+    """The current, non-deleted rows of a changelog table; a table of current state is taken as it is."""
+    if isinstance(tables, Resolved) and name in tables.resolved:
+        return tables[name]
     return latest_by_version(tables[name])
 
 
@@ -78,7 +96,7 @@ def argmax_partial(
     Columns in ``skip_null`` keep their own newest non-NULL value and version.
     """
     together = [c for c in columns if c not in skip_null]
-    order = _version_order(df, version)
+    order = version_order(df, version)
     aggregates = [
         F.max_by(F.struct(*together), order).alias("state"),
         F.max(order).alias("state_version"),

@@ -106,23 +106,20 @@ def mv_daily_compliance_kpis(tables: Tables, as_of: datetime | str) -> DataFrame
     live = current(tables, "protocol_instances").select(
         F.col("id").alias("protocol_instance_id"), "protocol_definition_id", "status"
     )
-    deviations = (
-        current(tables, "deviations")
-        .groupBy("protocol_instance_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_deviations"),
-            *[count_where(F.col("deviation_type") == t).alias(n) for n, t in DEVIATION_COUNTS.items()],
-        )
-    )
-    steps = (
-        current(tables, "step_instances")
-        .groupBy("protocol_instance_id")
-        .agg(*[count_where(flag).alias(n) for n, flag in step_flags().items()])
+    return compliance_of(live, current(tables, "deviations"), current(tables, "step_instances"), as_of)
+
+
+def compliance_of(live: DataFrame, deviations: DataFrame, steps: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The snapshot of current enrolments (``protocol_instance_id``, protocol and status), deviations and steps."""
+    counted_deviations = deviations.groupBy("protocol_instance_id").agg(
+        F.count(F.lit(1)).alias("total_deviations"),
+        *[count_where(F.col("deviation_type") == t).alias(n) for n, t in DEVIATION_COUNTS.items()],
     )
+    counted_steps = steps.groupBy("protocol_instance_id").agg(*[count_where(flag).alias(n) for n, flag in step_flags().items()])
     summed = ("total_deviations", *DEVIATION_COUNTS, *STEP_COUNTS)
     per_protocol = (
-        live.join(deviations, "protocol_instance_id", "left")
-        .join(steps, "protocol_instance_id", "left")
+        live.join(counted_deviations, "protocol_instance_id", "left")
+        .join(counted_steps, "protocol_instance_id", "left")
         .groupBy("protocol_definition_id")
         .agg(
             F.count(F.lit(1)).alias("total_enrollments"),

@@ -1,4 +1,4 @@
-"""Current-state rollups of the three fast-changing tables, and their reports."""
+"""Current-state rollups of the fast-changing tables, and their reports."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ ROLLUPS = {
         ("protocol_instance_id", "id"),
         ("action_id", "state", "completion_status"),
     ),
+    "rollup_deviation_current": (
+        "deviations",
+        ("protocol_instance_id", "id"),
+        ("deviation_type",),
+    ),
     "rollup_delivery_current": (
         "intelligence_deliveries",
         ("id",),

@@ -30,6 +30,8 @@ from cdcmart.streaming.commits import Log, folders_of, read_folders
 
 BY_PATIENT = "mv_deviation_by_patient"
 PATIENT_FACILITY = "mv_patient_facility_latest"
+#: Note of the commit log that names the last rebuild.
+GENERATION = "generation"
 
 
 @dataclass(frozen=True)
@@ -277,7 +279,8 @@ def rebuild(spark: SparkSession, layout: Layout, snapshot: Mapping[str, DataFram
             outputs.append(f"partials/{name}")
     if before_commit:
         before_commit()
-    log.commit({t: folders_of(spark, f"{layout.root}/{t}", batch) for t in outputs}, {t: before.get(t, []) for t in outputs})
+    added = {t: folders_of(spark, f"{layout.root}/{t}", batch) for t in outputs}
+    log.commit(added, {t: before.get(t, []) for t in outputs}, notes={GENERATION: batch})
     return outputs
 
 
