@@ -654,6 +654,7 @@ def _state_queries() -> dict[str, str]:
         "compacted_changelog": """SELECT id, status, _version, _is_deleted FROM deliveries
             QUALIFY row_number() OVER (PARTITION BY id ORDER BY _version DESC) = 1""",
         "rebuild_aggregates": marts["mv_deviation_trends_current"],
+        "stream_deviation_by_patient": marts["mv_deviation_by_patient"],
         "rebuild_then_ingest": marts["mv_deviation_trends"],
         "committed_batches": """SELECT status, count(*) AS rows, 'changes' AS form FROM deliveries GROUP BY status
             UNION ALL SELECT status, count(*) AS rows, 'rollup' AS form FROM cur_deliveries GROUP BY status""",

@@ -575,6 +575,18 @@ def _register_streams() -> None:
 _register_streams()
 
 
+@register("stream_deviation_by_patient")
+def _(t):
+    """Deviations find their patients in a snapshot of the enrolments, which were there before."""
+    layout = ingest.Layout(shared_folder(t.spark, "stream-by-patient"))
+    ingest.load(t.spark, layout, "protocol_instances", t["protocol_instances"])
+    t.wire("deviations").repartition(4).write.text(f"{layout.root}/messages")
+    messages = readers.read_change_files(t.spark, f"{layout.root}/messages", files_per_batch=2)
+    query = ingest.start_ingest(messages, ingest.Ingest("deviations", (ingest.BY_PATIENT,)), layout, {"availableNow": True})
+    query.awaitTermination()
+    return ingest.read_aggregate(t.spark, ingest.BY_PATIENT, layout)
+
+
 @register("stream_current_state")
 def _(t):
     layout = run_stream(t, "protocol_instances")

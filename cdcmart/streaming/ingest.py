@@ -26,35 +26,13 @@ from cdcmart.sources.envelope import dead_letters, parse_envelope, typed_changes
 from cdcmart.sources.readers import folder_exists, read_changelog
 from cdcmart.sources.schemas import TABLES
 from cdcmart.streaming import sinks
-from cdcmart.streaming.commits import Log, folders_of, read_folders
+from cdcmart.streaming.commits import GENERATION, Layout, folders_of, read_folders
+from cdcmart.streaming.dimension import Dimension, renew, rows_for
 
 BY_PATIENT = "mv_deviation_by_patient"
 PATIENT_FACILITY = "mv_patient_facility_latest"
-#: Note of the commit log that names the last rebuild.
-GENERATION = "generation"
-
-
-@dataclass(frozen=True)
-class Layout:
-    """Folders of a deployment."""
-
-    root: str
-
-    def changelog(self, table: str) -> str:
-        return f"{self.root}/changelog/{table}"
-
-    def dead(self, table: str) -> str:
-        return f"{self.root}/dead_letters/{table}"
-
-    def partials(self, name: str) -> str:
-        return f"{self.root}/partials/{name}"
-
-    def checkpoint(self, name: str) -> str:
-        return f"{self.root}/checkpoints/{name}"
-
-    def log(self, spark: SparkSession) -> Log:
-        """What of these folders readers see."""
-        return Log(spark, self.root)
+#: Which patient an enrolment belongs to, for deviations as they come in.
+ENROLMENT_PATIENTS = Dimension("enrolment_patients", "protocol_instances", ("id",), ("patient_id",), max_age_seconds=300)
 
 
 @dataclass(frozen=True)
@@ -85,8 +63,9 @@ def source_of(name: str) -> str:
 def batch_states(spark: SparkSession, name: str, changes: DataFrame, layout: Layout) -> DataFrame:
     """Mergeable states of one aggregate for the changes of one micro-batch."""
     if name == BY_PATIENT:
-        # The dimension is read again for each batch, so it is at most one batch old.
-        return _states(name, changes, latest_by_version(read_log(spark, layout, "protocol_instances")))
+        renew(spark, layout, ENROLMENT_PATIENTS)
+        keys = changes.select(F.col("protocol_instance_id").alias("id"))
+        return _states(name, changes, rows_for(spark, layout, ENROLMENT_PATIENTS, keys))
     return _states(name, changes)
 
 

@@ -20,8 +20,7 @@ from cdcmart.functions.columns import as_timestamp, to_millis
 from cdcmart.operators.changelog import argmax_merge
 from cdcmart.plans import kpis
 from cdcmart.streaming import ingest, sinks
-from cdcmart.streaming.commits import folders_of, read_folders
-from cdcmart.streaming.ingest import Layout
+from cdcmart.streaming.commits import GENERATION, Layout, folders_of, read_folders
 
 ENROLMENTS, STEPS, DEVIATIONS = "rollup_protocol_instance_current", "rollup_step_current", "rollup_deviation_current"
 ROLLUPS = (ENROLMENTS, STEPS, DEVIATIONS)
@@ -90,7 +89,7 @@ def refresh_compliance(spark: SparkSession, layout: Layout, as_of: datetime | st
     state = log.state()
     seen = state.notes.get(_SEEN)
     position = seen or {"entry": 0, "generation": None}
-    generation = state.notes.get(ingest.GENERATION)
+    generation = state.notes.get(GENERATION)
     before = state.live.get(TABLE, [])
     fresh = position["generation"] != generation
     protocols = touched_protocols(spark, layout, 0 if fresh else position["entry"]).persist()
@@ -107,7 +106,7 @@ def refresh_compliance(spark: SparkSession, layout: Layout, as_of: datetime | st
         {TABLE: folders_of(spark, f"{layout.root}/{TABLE}", batch)},
         {TABLE: before},
         notes={_SEEN: {"entry": state.number, "generation": generation}},
-        expected={_SEEN: seen, ingest.GENERATION: generation},
+        expected={_SEEN: seen, GENERATION: generation},
     )
     return changed
 

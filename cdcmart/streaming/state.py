@@ -22,8 +22,7 @@ from pyspark.sql import types as T
 from cdcmart.operators.changelog import ARRIVAL, DELETED, VERSION, latest_by_version, version_order
 from cdcmart.sources.schemas import TABLES
 from cdcmart.streaming import sinks
-from cdcmart.streaming.commits import folders_of, read_folders
-from cdcmart.streaming.ingest import Layout
+from cdcmart.streaming.commits import Layout, folders_of, read_folders
 
 BUCKETS = 64
 #: Day of rows whose timestamp is missing or unreadable.
