@@ -37,8 +37,9 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one task merges: at most MERGE * OPEN_WINDOWS windows.
 MERGE = 32
 END_ID = 1
-#: Runs of letters or signs, and parts between white space, that a worker remembers (some 150 bytes each).
-RUNS, PARTS = 250_000, 250_000
+#: Runs of letters or signs, and parts between white space, that a worker remembers (some 200 bytes each): so many new ones,
+#: and as many from before that go when the new ones are full and have not been seen again.
+RUNS, PARTS = 200_000, 400_000
 
 # Latin text without number signs and free accents: lower case is the same letter by letter, no form composes.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]*+")
@@ -61,6 +62,8 @@ class Words:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,9 +81,9 @@ class Words:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.runs) > RUNS:
-            self.runs = {}
+            self.runs, self.older_runs = {}, self.runs
         if len(self.parts) > PARTS:
-            self.parts = {}
+            self.parts, self.older_parts = {}, self.parts
         plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         cut = [t.lower().split() if p else _PARTS.findall(t) for t, p in zip(texts, plain, strict=True)]
         known = self.parts.get
@@ -92,12 +95,18 @@ class Words:
             found[i] = [known(w) if f is None else f for w, f in zip(cut[i], found[i], strict=True)]
         return [b"".join(f) for f in found]
 
+    @staticmethod
+    def _unknown(wanted: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+        """What neither holds; what only the older one holds is taken over."""
+        known.update((w, older[w]) for w in wanted.intersection(older))
+        return list(wanted.difference(known))
+
     def _learn(self, parts: set[str], plain: bool) -> None:
         """Plain parts are put together from their runs; parts with other signs go to the tokenizer as they are."""
-        new = list(parts)
+        new = self._unknown(parts, self.parts, self.older_parts)
         if plain:
             split = [[p] if p.isascii() and p.isalpha() else _RUNS.findall(p) for p in new]
-            self._learn_runs(list(set(chain.from_iterable(split)).difference(self.runs)))
+            self._learn_runs(self._unknown(set(chain.from_iterable(split)).difference(self.runs), self.runs, self.older_runs))
             known = self.runs.__getitem__
             self.parts.update((p, known(s[0]) if len(s) == 1 else b"".join(map(known, s))) for p, s in zip(new, split, strict=True))
         else:
