@@ -39,7 +39,7 @@ MERGE = 32
 END_ID = 1
 #: Runs of letters or signs, and parts between white space, that a worker remembers (some 200 bytes each): so many new ones,
 #: and as many from before that go when the new ones are full and have not been seen again.
-RUNS, PARTS = 200_000, 400_000
+RUNS, PARTS = 250_000, 600_000
 
 # Latin text without number signs and free accents: lower case is the same letter by letter, no form composes.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]*+")
