@@ -458,6 +458,17 @@ class DriverTables(Mapping[str, DataFrame]):
             .agg(F.count(F.lit(1)).cast("double").alias("value"))
         )
 
+    def bucket_samples(self) -> DataFrame:
+        """Counters of the cumulative latency buckets of a source; they start over every day, and a bucket appears with its first observation."""
+        bounds = "array('5.0', '10.0', '25.0', '50.0', '100.0', '200.0', '+Inf')"
+        labelled = self.events().selectExpr(
+            "event_id", "ts", "concat('s', cast(user_id % 8 AS string)) AS source", "to_date(ts) AS day", "value", f"explode({bounds}) AS le"
+        )
+        inside = F.when(F.col("value") <= F.col("le").cast("double"), 1.0).otherwise(0.0)
+        running = running_total(labelled, ["source", "le", "day"], ["ts", "event_id"], F.hour("ts"), {"value": inside})
+        labels = F.create_map(F.lit("source"), "source", F.lit("le"), "le")
+        return running.where("value > 0").select("ts", F.lit("latency_bucket").alias("metric"), labels.alias("labels"), "value")
+
     def query_log(self) -> DataFrame:
         return self.events().selectExpr(
             "ts AS event_time",

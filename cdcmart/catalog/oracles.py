@@ -442,6 +442,10 @@ def _counter(amount: str, where: str = "true", per: str = "source") -> str:
 _CENTS = "CAST(floor(value * 100) AS BIGINT)"
 _RECEIVED = _counter(_CENTS)
 _AT = "make_timestamp(t) AS ts"
+_BUCKETS = """SELECT source, ts, value FROM (SELECT 's' || (user_id % 8) || '/' || le AS source, ts,
+    CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 8, le, CAST(ts AS DATE)
+        ORDER BY ts, event_id) AS DOUBLE) AS value
+    FROM ev, (SELECT unnest([5.0::DOUBLE, 10, 25, 50, 100, 200, 'Infinity'::DOUBLE]) AS le)) WHERE value > 0"""
 
 
 # -- the registered queries -------------------------------------------------------
@@ -809,6 +813,16 @@ def _metrics() -> dict[str, str]:
             SELECT source, ts, round(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0)
                 + (le - coalesce(low, 0)) * ((rank - below) / (n - below)) END, 8) AS value
             FROM b WHERE n >= rank QUALIFY row_number() OVER (PARTITION BY source, ts ORDER BY le) = 1""",
+        "quantile_of_rates": f"""WITH r AS (SELECT split_part(source, '/', 1) AS source, CAST(split_part(source, '/', 2) AS DOUBLE) AS le,
+                t, value / {six} AS n FROM ({_increase(_BUCKETS, six, hour)})),
+            c AS (SELECT source, t, le, max(n) OVER (PARTITION BY source, t ORDER BY le) AS n,
+                max(n) OVER (PARTITION BY source, t) AS total, max(le) OVER (PARTITION BY source, t) AS top FROM r),
+            b AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, lag(le) OVER w AS low, 0.95::DOUBLE * total AS rank
+                FROM c WINDOW w AS (PARTITION BY source, t ORDER BY le))
+            SELECT source, {_AT}, round(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0)
+                + (le - coalesce(low, 0)) * ((rank - below) / (n - below)) END, 6) AS value
+            FROM b WHERE total > 0 AND isinf(top) AND n >= rank
+            QUALIFY row_number() OVER (PARTITION BY source, t ORDER BY le) = 1""",
         "sum_by_labels": """SELECT kind, ts, sum(value) AS value FROM (SELECT source, kind,
                 CASE WHEN date_trunc('hour', ts) = ts THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS ts,
                 depth AS value, ts AS s_ts FROM gauges QUALIFY row_number() OVER (PARTITION BY source, kind,

@@ -981,6 +981,12 @@ def _(t):
     return _rounded(result)
 
 
+@register("quantile_of_rates")
+def _(t):
+    buckets = metrics.with_labels(metrics.select_series(t.bucket_samples(), "latency_bucket"), ["source", "le"])
+    return metrics.quantile_of_rates(buckets, ["source"], ["source"], 0.95, SIX_HOURS, HOUR).withColumn("value", F.round("value", 6))
+
+
 @register("sum_by_labels")
 def _(t):
     depth = metrics.select_series(t.gauge_samples(), "queue_depth")

@@ -1,18 +1,21 @@
 """Operators over metric samples: ``ts, metric, labels MAP, value``.
 
-Samples are first reduced per series and step of the evaluation grid. Look-back
-windows then spread those reduced rows over the grid points they count for, and
-one aggregation puts them together; no task holds a whole series of samples.
+Samples are first reduced per series and cell of the evaluation grid, in slices of
+a series. Look-back windows then spread those reduced rows over the grid points they
+count for, and one aggregation puts them together; no task holds a whole series.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
+# Length of a slice of a series, in look-backs.
+SLICE = 24
 
 
 def select_series(
@@ -59,6 +62,30 @@ def _grid_point(ts: Column, step_seconds: int) -> Column:
     return F.unix_seconds(F.timestamp_micros(micros + to_next))
 
 
+def _growth(samples: DataFrame, series: Sequence[str], lookback_seconds: int, cell_seconds: int) -> DataFrame:
+    """Samples with their cell of the grid and the growth since the sample before (0 for the first).
+
+    A series is cut into slices of ``SLICE`` look-backs. Only a sample less than a look-back
+    away can lie in the same window, so each slice also gets the samples of the last look-back
+    before it, and no task holds a whole series.
+    """
+    length = lookback_seconds * SLICE
+    placed = samples.select(*series, _grid_point(F.col("ts"), cell_seconds).alias("_g"), "ts", "value")
+    own = F.expr(f"(_g + pmod(-_g, {length}L)) div {length}L")
+    slices = F.when(
+        F.col("_g") > own * length - lookback_seconds,
+        F.array(F.struct(own.alias("_slice"), F.lit(False).alias("_carried")), F.struct((own + 1).alias("_slice"), F.lit(True).alias("_carried"))),
+    ).otherwise(F.array(F.struct(own.alias("_slice"), F.lit(False).alias("_carried"))))
+    sliced = placed.select("*", F.inline(slices))
+    previous = F.lag("value").over(Window.partitionBy(*series, "_slice").orderBy("ts"))
+    growth = (
+        F.when(previous.isNull(), F.lit(0.0))
+        .when(F.col("value") < previous, F.col("value"))
+        .otherwise(F.col("value") - previous)
+    )
+    return sliced.withColumn("_delta", growth).where(~F.col("_carried"))
+
+
 def counter_increase(
     samples: DataFrame, series: Sequence[str], lookback_seconds: int, step_seconds: int
 ) -> DataFrame:
@@ -68,46 +95,30 @@ def counter_increase(
     the increase between the first and last sample of the window is extended to
     the window's edges: by the gap to the edge, or half the mean sample distance
     where that gap is above 1.1 mean distances, and never below a counter of
-    zero. Windows with fewer than two samples give no row.
+    zero. Windows with fewer than two samples give no row. The look-back need not
+    be a multiple of the step: cells are their greatest common divisor long.
     """
-    if lookback_seconds % step_seconds:
-        raise ValueError("the look-back must be a multiple of the step")
-    placed = samples.select(
-        *series, _grid_point(F.col("ts"), step_seconds).alias("_g"), "ts", "value"
-    )
-    by_time = Window.partitionBy(*series, "_g").orderBy("ts")
-    previous = F.lag("value").over(by_time)
-    stepped = placed.withColumn(
-        "_delta",
-        F.when(previous.isNull(), F.lit(0.0))
-        .when(F.col("value") < previous, F.col("value"))
-        .otherwise(F.col("value") - previous),
-    )
-    reduced = stepped.groupBy(*series, "_g").agg(
+    if lookback_seconds <= 0 or step_seconds <= 0:
+        raise ValueError("look-back and step must be positive")
+    cell = math.gcd(lookback_seconds, step_seconds)
+    # The slices' partitioning serves the cells too: one exchange of samples.
+    reduced = _growth(samples, series, lookback_seconds, cell).groupBy(*series, "_slice", "_g").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("ts").alias("_first_ts"),
         F.max("ts").alias("_last_ts"),
-        F.min_by("value", "ts").alias("_first_value"),
-        F.max_by("value", "ts").alias("_last_value"),
-        F.sum("_delta").alias("_inner"),
-    )
-    before = F.lag("_last_value").over(Window.partitionBy(*series).orderBy("_g"))
-    entry = (
-        F.when(before.isNull(), F.lit(0.0))
-        .when(F.col("_first_value") < before, F.col("_first_value"))
-        .otherwise(F.col("_first_value") - before)
-    )
-    linked = reduced.withColumn("_entry", entry)
-    reach = F.sequence(
-        F.col("_g"), F.col("_g") + F.lit(lookback_seconds - step_seconds), F.lit(step_seconds)
+        F.min_by(F.struct(F.col("value").alias("_first_value"), F.col("_delta").alias("_entry")), "ts").alias("_head"),
+        F.sum("_delta").alias("_moved"),
     )
-    spread = linked.withColumn("_t", F.explode(reach))
+    start = F.expr(f"_g + pmod(-_g, {step_seconds}L)")
+    stop = F.col("_g") + F.lit(lookback_seconds - cell)
+    reach = F.when(start <= stop, F.sequence(start, stop, F.lit(step_seconds).cast("long")))
+    spread = reduced.withColumn("_t", F.explode(reach))
     windows = spread.groupBy(*series, "_t").agg(
         F.sum("_n").alias("_n"),
         F.min("_first_ts").alias("_first_ts"),
         F.max("_last_ts").alias("_last_ts"),
-        F.min_by(F.struct("_first_value", "_entry"), "_first_ts").alias("_head"),
-        F.sum(F.col("_inner") + F.col("_entry")).alias("_moved"),
+        F.min_by("_head", "_first_ts").alias("_head"),
+        F.sum("_moved").alias("_moved"),
     )
     raw = F.col("_moved") - F.col("_head._entry")
     measured = windows.where("_n >= 2").select(
@@ -274,6 +285,23 @@ def histogram_quantile(buckets: DataFrame, group: Sequence[str], quantile: float
     return first.select(*group, value.alias("value"))
 
 
+def quantile_of_rates(
+    buckets: DataFrame, series: Sequence[str], group: Sequence[str], quantile: float, lookback_seconds: int, step_seconds: int
+) -> DataFrame:
+    """Quantile at every grid point over the rates of cumulative bucket counters ``ts, le, value``.
+
+    Each counter (a bucket of one series) is corrected for its own resets and extended to the
+    window's edges; rates are then summed over the series of a ``group`` by bound. A bucket
+    that appears late counts from its second sample on; until then, and where its rate
+    falls below that of a smaller bound, the smaller bound's rate stands for it. Groups
+    without an unbounded bucket, and windows in which nothing was observed, give no row.
+    ``le`` may be text as exposed (``0.5``, ``+Inf``); an unreadable bound is left out.
+    """
+    bounded = buckets.select("ts", *series, F.col("le").try_cast("double").alias("le"), "value").where("le IS NOT NULL")
+    rates = counter_rate(bounded, [*series, "le"], lookback_seconds, step_seconds)
+    return histogram_quantile(rates, ["ts", *group], quantile)
+
+
 def sustained_alert(
     condition: DataFrame, series: Sequence[str], for_seconds: int, step_seconds: int, severity: str
 ) -> DataFrame:

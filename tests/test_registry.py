@@ -15,7 +15,7 @@ cdc_decode_envelope cdc_dead_letters cdc_intelligence_event_logs derive_inbound
 carry_forward_unavailable history_dedup argmax_merge state_merge mv_event_volume_hourly mv_practitioner_summary_current
 mv_deviation_by_patient mv_patient_facility_latest mv_daily_compliance_kpis mv_daily_deviation_kpis
 mv_daily_adoption_kpis mv_daily_referral_kpis backfill_daily_compliance asof_step_state rank_facilities
-e2e_latency_per_minute dict_delivery_adaptor dq_report counter_rate histogram_quantile no_data ql_slowest_shapes
+e2e_latency_per_minute dict_delivery_adaptor dq_report counter_rate histogram_quantile quantile_of_rates no_data ql_slowest_shapes
 ql_latency_percentiles stmt_totals flagship_event_kpis
 """.split()
 
