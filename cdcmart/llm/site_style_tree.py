@@ -10,8 +10,14 @@ Pages that are copies of one another count once.
 
 What the mark-up itself declares comes first: elements whose tag, role, class or id names a
 menu, header, footer, sidebar, notice, advert, form, script, style or comment are not
-content; if a page has ``article`` or ``main`` elements, only those are, and what they hold is
-removed by declaration alone, so that articles published twice on a host are kept.
+content; if a page has ``article`` or ``main`` elements, only those are. Inside them fewer class
+names speak (``_IN_ARTICLE``: an article has headers and alerts of its own), and an id only
+as a whole and not on headings, whose ids are slugs; the tree decides on all other blocks and
+branches there too. Headings of an article go only with a branch they stand in.
+
+Articles published twice on a host, or with a changed passage, are no boilerplate: pages count
+once for each text of their article, and a block of an article once for each longest other
+block it stands with.
 
 A block ends where a block element begins or ends and at ``br``. Text is decoded, white
 space within a block becomes one space, blocks are joined by line feeds.
@@ -61,6 +67,13 @@ _REGIONS = frozenset(
     "header masthead topbar footer foot copyright comment comments disqus respond replies reply "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar search searchbox skip".split()
 )
+# fixed values: region names that mean the same inside an article; headings
+_IN_ARTICLE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr "
+    "nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar sidebars comment comments disqus respond replies "
+    "newsletter subscribe subscription share sharing social related recommended recommendations widget widgets popup modal overlay".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<(" + "|".join(sorted(_RAW)) + r")\b[^>]*+(?<!/)>.*?(?:</\1\b[^>]*+>|\Z)"
@@ -93,6 +106,7 @@ class Block:
     text: str
     banned: bool
     in_main: bool
+    heading: bool
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -108,6 +122,10 @@ def _declared(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", ""):
         return True
+    if in_main:
+        if tag not in _HEADINGS and attributes.get("id", "").lower() in _IN_ARTICLE:
+            return True
+        return "class" in attributes and not _IN_ARTICLE.isdisjoint(_WORDS.split(attributes["class"].lower()))
     if tag in ("html", "body", "main", "article"):
         named = attributes.get("class", "") if tag == "article" else ""
     else:
@@ -129,7 +147,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
             at = next((e for e in reversed(stack) if e.tag not in _INLINE), root)
-            blocks.append(Block(at.path, text, stack[-1].banned, stack[-1].in_main))
+            blocks.append(Block(at.path, text, stack[-1].banned, stack[-1].in_main, at.tag in _HEADINGS))
 
     def close(element: Element) -> None:
         if not element.banned:
@@ -205,6 +223,23 @@ def main_blocks(blocks: list[Block]) -> list[int]:
     return [i for i, b in enumerate(blocks) if not b.banned and (b.in_main or not in_main)]
 
 
+def contexts(blocks: list[Block], digest: int) -> list[int]:
+    """What each block stands with: in an article its longest other block (of equal ones the first), elsewhere the page."""
+    article = sorted((i for i, b in enumerate(blocks) if b.in_main and not b.banned), key=lambda i: -len(blocks[i].text))
+    found = [digest] * len(blocks)
+    for i in article:
+        other = next((j for j in article if blocks[j].text != blocks[i].text), None)
+        found[i] = digest if other is None else _hash(blocks[other].text)
+    return found
+
+
+def _open(block: Block) -> tuple[str, int | None]:
+    """Path and feature that a block is looked up by; headings of an article have the path of what they stand in."""
+    if block.heading and block.in_main:
+        return block.path.rpartition(">")[0], None
+    return block.path, _hash(block.text)
+
+
 def _hash(text: str) -> int:
     data = text.encode("utf-8", "surrogatepass")
     return (zlib.crc32(data) << 31) | (zlib.adler32(data) & 0x7FFFFFFF)
@@ -215,35 +250,37 @@ def host(url: Column) -> Column:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """What each page shows: ``_key, host, digest`` (tells copies apart), ``nodes`` (a path and feature once), and ``open``.
+    """What each page shows: ``_key, host, digest`` (tells copies apart), ``nodes`` (a path, feature and context once), and ``open``.
 
-    ``open``: the blocks that neither a declaration nor an article decides on.
+    ``open``: the blocks that no declaration decides on.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = pa.list_(pa.struct([("path", pa.string()), ("feature", pa.int64()), ("content", pa.bool_())]))
+        node = pa.list_(pa.struct([("path", pa.string()), ("feature", pa.int64()), ("content", pa.bool_()), ("context", pa.int64())]))
         block = pa.list_(pa.struct([("number", pa.int32()), ("path", pa.string()), ("feature", pa.int64())]))
         for batch in batches:
             digests, nodes, undecided = [], [], []
             for page in batch.column("html").to_pylist():
                 blocks, shown = blocks_of(page or "")
-                seen = {(path, _hash(children), False): None for path, children in reversed(dict(reversed(shown)).items())}
-                seen |= {(b.path, _hash(b.text), True): None for b in blocks if not b.banned}
-                digests.append(_hash("\n".join(b.text for b in blocks if not b.banned)))
-                nodes.append([{"path": p, "feature": f, "content": c} for p, f, c in seen])
-                undecided.append([{"number": i, "path": blocks[i].path, "feature": _hash(blocks[i].text)} for i in main_blocks(blocks) if not blocks[i].in_main])
+                own = main_blocks(blocks)
+                digest = _hash("\n".join(blocks[i].text for i in own))
+                seen = {(path, _hash(children), False, digest): None for path, children in reversed(dict(reversed(shown)).items())}
+                seen |= {(b.path, _hash(b.text), True, c): None for b, c in zip(blocks, contexts(blocks, digest), strict=True) if not b.banned}
+                digests.append(digest)
+                nodes.append([{"path": p, "feature": f, "content": c, "context": x} for p, f, c, x in seen])
+                undecided.append([{"number": i, "path": p, "feature": f} for i in own for p, f in [_open(blocks[i])]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_key"), batch.column("host"), pa.array(digests, pa.int64()), pa.array(nodes, node), pa.array(undecided, block)], names=["_key", "host", "digest", "nodes", "open"]
             )
 
-    schema = "_key long, host string, digest long, nodes array<struct<path:string,feature:bigint,content:boolean>>, open array<struct<number:int,path:string,feature:bigint>>"
+    schema = "_key long, host string, digest long, nodes array<struct<path:string,feature:bigint,content:boolean,context:bigint>>, open array<struct<number:int,path:string,feature:bigint>>"
     return pages.select("_key", "host", "html").mapInArrow(read, schema)
 
 
 def unimportant(read: DataFrame) -> DataFrame:
     """Of pages as ``read_pages`` gives them: ``host, path, feature`` of what a host repeats: a block, or with feature null a branch."""
-    once = read.groupBy("host", "digest").agg(F.first("nodes").alias("nodes"))
-    counts = once.select("host", F.inline("nodes")).groupBy("host", "path", "feature", "content").agg(F.count("*").alias("n"))
+    once = read.groupBy("host", "digest").agg(F.min_by("nodes", "_key").alias("nodes"))
+    counts = once.select("host", F.inline("nodes")).distinct().groupBy("host", "path", "feature", "content").agg(F.count("*").alias("n"))
     counts = checkpointed(counts)
     shown = counts.where("NOT content").groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("_nlogn"))
     # entropy of the child lists to the base of the number of pages
