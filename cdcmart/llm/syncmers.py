@@ -4,8 +4,10 @@ Of a text's runs of ``K`` words those are anchors whose least inner run of ``S``
 (by hash) is its first or its last. Whether a run is an anchor hangs on its own words
 alone, so equal passages have equal anchors wherever they stand, and two neighbours
 among ``K - S + 1`` runs are anchors on average. A fingerprint lists all anchors in
-text order, eight hex digits each; texts of fewer than ``K`` words are their own runs of
-``S`` words. Likeness is twice the shared anchors over the sum of both (Dice).
+text order, eight hex digits each; texts without any (of fewer than ``K`` words, and
+some a little longer) are their own runs of ``S`` words. If a text has a word of more than ``LONG``
+bytes, as in scripts without spaces, such words count as their single code points. Likeness
+is twice the shared anchors over the sum of both (Dice).
 
 DataFrame functions only. The next document in descending doc_id comes by a window over
 buckets of some ``BUCKET`` documents, each with the first document of the next bucket added.
@@ -26,13 +28,23 @@ from cdcmart.llm.common import SPACE_CLASS, checkpointed, maybe_in
 
 K = 6
 S = 2
+LONG = 64
 BUCKET = 2000
 
 
 def word_numbers(text: Column) -> Column:
+    """A hash for each word in order."""
     return F.transform(F.array_remove(F.split(text, f"{SPACE_CLASS}+"), ""), lambda w: F.xxhash64(w))
 
 
+def units(text: Column) -> Column:
+    """A hash for each word in order, and for each code point of words above ``LONG`` bytes."""
+    words = F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.octet_length(w) > LONG, F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
+    # told by a pattern, so that ordinary texts are not gone through word by word once more
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]{%d}" % (LONG // 4 + 1)), F.transform(cut, lambda w: F.xxhash64(w))).otherwise(word_numbers(text))
+
+
 def inner_runs(words: Column) -> Column:
     """A hash for each run of two words (``S``), in order; of a single word for a text of one."""
     runs = F.greatest(F.size(words) - 1, F.lit(0))
@@ -40,8 +52,8 @@ def inner_runs(words: Column) -> Column:
     return F.when(F.size(words) >= S, pairs).otherwise(words)
 
 
-def anchors(runs: Column) -> Column:
-    """32-bit hashes of the closed syncmers over inner runs, in text order."""
+def chosen_places(runs: Column) -> Column:
+    """Places of the closed syncmers over inner runs, in text order."""
     width = K - S + 1
 
     def chosen(i: Column) -> Column:
@@ -49,8 +61,13 @@ def anchors(runs: Column) -> Column:
         return (least == F.get(runs, i)) | (least == F.get(runs, i + width - 1))
 
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(runs) - width, F.lit(0))), chosen)
-    long = F.transform(places, lambda i: F.hash(F.slice(runs, i + 1, width)))
-    return F.when(F.size(runs) >= width, long).otherwise(F.transform(runs, lambda r: F.hash(r)))
+    return F.when(F.size(runs) >= width, places).otherwise(F.array().cast("array<int>"))
+
+
+def anchors(runs: Column, places: Column) -> Column:
+    """32-bit hashes of the closed syncmers at ``places``, or of the inner runs if there is none."""
+    long = F.transform(places, lambda i: F.hash(F.slice(runs, i + 1, K - S + 1)))
+    return F.when(F.size(places) > 0, long).otherwise(F.transform(runs, lambda r: F.hash(r)))
 
 
 def fingerprint(found: Column) -> Column:
@@ -65,8 +82,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
     """``rows`` with the anchors of a column; columns of their own keep words and runs from being computed twice."""
-    rows = rows.withColumn("_words", word_numbers(F.col(text))).withColumn("_runs", inner_runs(F.col("_words")))
-    return rows.withColumn(name, anchors(F.col("_runs"))).drop("_words", "_runs")
+    rows = rows.withColumn("_words", units(F.col(text))).withColumn("_runs", inner_runs(F.col("_words"))).withColumn("_places", chosen_places(F.col("_runs")))
+    return rows.withColumn(name, anchors(F.col("_runs"), F.col("_places"))).drop("_words", "_runs", "_places")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -51,6 +51,31 @@ def test_repeated_branches_of_a_host_go(spark, documents, words):
     assert {got[200 + i].text for i in range(30)} == {words(12, 5000)} and got[0].n_chars == len(got[0].text)
 
 
+def test_an_article_keeps_what_only_its_names_suspect(spark, documents):
+    documents([])
+    page = """<body><article><header class="entry-header"><h1>Title {0}</h1></header><h2 id="login">Logging in {0}</h2><p class="alert">Mind {0}</p>
+    <section id="related-work"><h3>Related {0}</h3><p>Work {0}</p></section><div class="article-header">Part {0}</div><p>Plain {0}</p>
+    <div class="share-bar">Share me</div><section id="comments"><p>First {0}</p></section></article></body>"""
+    rows = [(i, f"https://n.example/{i}", page.format(i)) for i in range(30)]
+    for r in site_style_tree.extract(site(spark, rows)).collect():
+        i = r.page_id
+        assert r.text == f"Title {i}\nLogging in {i}\nMind {i}\nRelated {i}\nWork {i}\nPart {i}\nPlain {i}"
+
+
+def test_the_tree_decides_inside_articles_too(spark, documents, words):
+    documents([])
+    share = "<div class='x9'><h4>Like it?</h4><p>Tell all your friends about this page</p></div>"
+    rows = [(i, f"https://a.example/{i}", f"<body><p>{i}</p><article><h1>News</h1><p>{words(20, i)}</p><p>{words(9, 500 + i)}</p>{share}</article></body>") for i in range(40)]
+    # copies of one article whose surroundings differ, and near copies with one passage changed
+    rows += [(100 + i, f"https://c.example/{i}", f"<body><p>{words(3, i)}</p><article><p>{words(20, 1)}</p><p>{words(9, 2)}</p></article></body>") for i in range(40)]
+    rows += [(200 + i, f"https://d.example/{i}", f"<body><article><p>{words(30, 3)}</p><p>{words(20, 4)}</p><p>{words(9, 600 + i)}</p></article></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in site_style_tree.extract(site(spark, rows)).collect()}
+    for i in range(40):
+        assert got[i] == f"News\n{words(20, i)}\n{words(9, 500 + i)}"
+        assert got[100 + i] == f"{words(20, 1)}\n{words(9, 2)}"
+        assert got[200 + i] == f"{words(30, 3)}\n{words(20, 4)}\n{words(9, 600 + i)}"
+
+
 def test_odd_pages(spark, documents):
     documents([])
     rows = [(1, None, None), (2, "", ""), (None, "http://x", "<p>t"), (3, "odd", "<p>t</p>"), (3, "odd", "<p>t</p>"), (4, "http://x", "<p>" + "w " * 200_000)]
@@ -109,7 +134,7 @@ def closed_syncmers(text):
     width = syncmers.K - syncmers.S + 1
     if len(runs) < width:
         return len(runs)
-    return sum(min(runs[i : i + width]) in (runs[i], runs[i + width - 1]) for i in range(len(runs) - width + 1))
+    return sum(min(runs[i : i + width]) in (runs[i], runs[i + width - 1]) for i in range(len(runs) - width + 1)) or len(runs)
 
 
 def anchors(fingerprint):
@@ -119,7 +144,7 @@ def anchors(fingerprint):
 def test_fingerprints_edits_and_neighbours(documents, words, monkeypatch):
     monkeypatch.setattr(syncmers, "BUCKET", 7)
     rng = random.Random(3)
-    rows = [(i * 17 % 1009, words(rng.choice((1, 3, 20, 150)), i % 60), "s") for i in range(80)] + [(5000, None, "s"), (-3, "é你 \U0001f600 x", "s")]
+    rows = [(i * 17 % 1009, words(rng.choice((1, 3, 6, 7, 8, 20, 150)), i % 60), "s") for i in range(80)] + [(5000, None, "s"), (-3, "é你 \U0001f600 x", "s")]
     got = {r.doc_id: r for r in syncmers.report(documents(rows, clashing=True)).collect()}
     texts = {i: t or "" for i, t, _ in rows}
     order = sorted(texts, reverse=True)
@@ -138,6 +163,17 @@ def test_fingerprints_edits_and_neighbours(documents, words, monkeypatch):
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+def test_short_and_unspaced_texts_have_fingerprints_of_their_own(documents, words):
+    rows = [(i, words(6 + i % 3, 2000 + i), "s") for i in range(60)]
+    got = syncmers.report(documents(rows)).collect()
+    assert all(r.fingerprint for r in got) and max(r.near_next for r in got) < 0.5
+    rng = random.Random(5)
+    unspaced = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300)) + "\U0001f600" * (i % 2) for i in range(6)]
+    got = syncmers.report(documents([(i, t, "s") for i, t in enumerate(unspaced)])).collect()
+    # half of the text is kept, so about half of the anchors are
+    assert all(0.3 < r.near_edited < 0.7 and r.near_next == 0 for r in got)
+
+
 def test_fingerprints_of_odd_documents(documents, words):
     rows = odd_rows(words)
     got = syncmers.report(documents(rows, clashing=True)).collect()
