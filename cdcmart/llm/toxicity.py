@@ -204,7 +204,7 @@ def _counts(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     classes = labelled(labels, most)
-    counts = checkpointed(_counts(docs, classes))
+    counts = written(_counts(docs, classes), "toxic-counts")
     other, toxic, every = (n or 0 for n in counts.agg(F.sum("other"), F.sum("toxic"), F.sum("every")).first())
     if not toxic or not other:
         return Model(counts.where("false").select("token", F.lit(0.0).alias("evidence")), Scale())
@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
 
     # what a token would say to one more document that has it, as told by the others
     unseen = evidence(F.greatest(F.col("other") - 1, F.lit(0)))
-    rows = checkpointed(rows.select("token", "other", "toxic", evidence(F.col("other")).alias("evidence"), F.round(unseen, 3).alias("unseen")))
+    rows = written(rows.select("token", "other", "toxic", evidence(F.col("other")).alias("evidence"), F.round(unseen, 3).alias("unseen")), "toxic-evidence")
     rate = sum(classes.values()) / len(classes)
     steps = rows.groupBy("unseen").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
     # Scores of tokens in other documents, each left out of its own evidence; half a token as in toxic ones stands for what was not seen.
@@ -330,7 +330,7 @@ def _asked(docs: DataFrame, evidence: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return checkpointed(_keyed(docs).mapInArrow(ask, f"doc_id {kind}, _key long, n_tokens long, places array<long>, tokens array<long>"))
+    return written(_keyed(docs).mapInArrow(ask, f"doc_id {kind}, _key long, n_tokens long, places array<long>, tokens array<long>"), "toxic-asked")
 
 
 def _likely(asked: DataFrame, model: Model) -> DataFrame:
@@ -410,7 +410,7 @@ def clean(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = learn(docs, labels, most)
     toxic = _found(docs, model, _asked(docs, model.evidence)).where(F.col("score") >= THRESHOLD).select(F.col("_key").alias("_mark"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("_of"))
+    rows = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("_row"), F.xxhash64("doc_id", "text").alias("_of"))
     same = maybe_in(rows, toxic, "_of", "_mark", keep=False)
     rest = maybe_in(rows, toxic, "_of", "_mark").join(toxic, F.col("_of") == F.col("_mark"), "left_anti")
     return same.union(rest).select("_row.*")

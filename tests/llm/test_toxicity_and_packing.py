@@ -94,6 +94,13 @@ def test_toxic_rows_go_and_clean_ones_stay(labelled):
     assert {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - predicted
 
 
+def test_column_names_with_dots_and_ticks_are_kept(labelled):
+    rows, docs, labels = labelled
+    odd = docs.selectExpr("*", "1 AS `a.b`", "2 AS `c``d`")
+    kept = toxicity.clean(odd, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() < len(rows)
+
+
 def test_toxicity_of_odd_tables(spark, documents, words, labelled):
     rows = odd_rows(words)
     odd_labels = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 1, 1), (6, 1, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
