@@ -204,7 +204,7 @@ def _counts(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     classes = labelled(labels, most)
-    counts = written(_counts(docs, classes), "toxic-counts")
+    counts = checkpointed(_counts(docs, classes))
     other, toxic, every = (n or 0 for n in counts.agg(F.sum("other"), F.sum("toxic"), F.sum("every")).first())
     if not toxic or not other:
         return Model(counts.where("false").select("token", F.lit(0.0).alias("evidence")), Scale())
@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
 
     # what a token would say to one more document that has it, as told by the others
     unseen = evidence(F.greatest(F.col("other") - 1, F.lit(0)))
-    rows = written(rows.select("token", "other", "toxic", evidence(F.col("other")).alias("evidence"), F.round(unseen, 3).alias("unseen")), "toxic-evidence")
+    rows = checkpointed(rows.select("token", "other", "toxic", evidence(F.col("other")).alias("evidence"), F.round(unseen, 3).alias("unseen")))
     rate = sum(classes.values()) / len(classes)
     steps = rows.groupBy("unseen").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
     # Scores of tokens in other documents, each left out of its own evidence; half a token as in toxic ones stands for what was not seen.
@@ -355,7 +355,8 @@ def _likely(asked: DataFrame, model: Model) -> DataFrame:
 def _found(docs: DataFrame, model: Model, asked: DataFrame) -> DataFrame:
     """``_key, passages, score`` of the texts with passages, once each."""
     likely = _likely(asked, model)
-    texts = maybe_in(_keyed(docs), likely, "_key", "_mark").join(likely, F.col("_key") == F.col("_mark"), "left_semi").dropDuplicates(["_key"])
+    # an inner join (keys are there once): Spark would push a semi join below the filter and shuffle every text
+    texts = maybe_in(_keyed(docs), likely, "_key", "_mark").join(likely, F.col("_key") == F.col("_mark")).dropDuplicates(["_key"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,5 +413,5 @@ def clean(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame
     toxic = _found(docs, model, _asked(docs, model.evidence)).where(F.col("score") >= THRESHOLD).select(F.col("_key").alias("_mark"))
     rows = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("_row"), F.xxhash64("doc_id", "text").alias("_of"))
     same = maybe_in(rows, toxic, "_of", "_mark", keep=False)
-    rest = maybe_in(rows, toxic, "_of", "_mark").join(toxic, F.col("_of") == F.col("_mark"), "left_anti")
-    return same.union(rest).select("_row.*")
+    rest = maybe_in(rows, toxic, "_of", "_mark").join(toxic, F.col("_of") == F.col("_mark"), "left").where("_mark IS NULL")
+    return same.select("_row").union(rest.select("_row")).select("_row.*")
