@@ -5,9 +5,8 @@ Of a text's runs of ``K`` words those are anchors whose least inner run of ``S``
 alone, so equal passages have equal anchors wherever they stand, and two neighbours
 among ``K - S + 1`` runs are anchors on average. A fingerprint lists all anchors in
 text order, eight hex digits each; texts without any (of fewer than ``K`` words, and
-some a little longer) are their own runs of ``S`` words. If a text has a word of more than ``LONG``
-bytes, as in scripts without spaces, such words count as their single code points. Likeness
-is twice the shared anchors over the sum of both (Dice).
+some a little longer) are their own runs of ``S`` words. Words of more than ``LONG`` code
+points, as in scripts without spaces, count as their single code points. Likeness is twice the shared anchors over the sum of both (Dice).
 
 DataFrame functions only. The next document in descending doc_id comes by a window over
 buckets of some ``BUCKET`` documents, each with the first document of the next bucket added.
@@ -28,7 +27,7 @@ from cdcmart.llm.common import SPACE_CLASS, checkpointed, maybe_in
 
 K = 6
 S = 2
-LONG = 64
+LONG = 32
 BUCKET = 2000
 
 
@@ -38,11 +37,11 @@ def word_numbers(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """A hash for each word in order, and for each code point of words above ``LONG`` bytes."""
+    """A hash for each word in order, and for each code point of words above ``LONG``."""
     words = F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
-    cut = F.flatten(F.transform(words, lambda w: F.when(F.octet_length(w) > LONG, F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG, F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
     # told by a pattern, so that ordinary texts are not gone through word by word once more
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]{%d}" % (LONG // 4 + 1)), F.transform(cut, lambda w: F.xxhash64(w))).otherwise(word_numbers(text))
+    return F.when(text.rlike(rf"(?:^|{SPACE_CLASS})[^\x20\x09-\x0D]{{{LONG + 1}}}"), F.transform(cut, lambda w: F.xxhash64(w))).otherwise(word_numbers(text))
 
 
 def inner_runs(words: Column) -> Column:
