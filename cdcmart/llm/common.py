@@ -21,8 +21,11 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of a batch that are worked on at once.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch that goes to a Python worker.
+#: Rows and bytes of an Arrow batch that goes to a Python worker, whichever comes first.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+#: Powers kept for the next call of a worker, 16 bytes each.
+_KEPT_POWERS = 1 << 22
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -147,7 +150,7 @@ _CACHE: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the factor and of its inverse, kept for the next call of a worker (long ones are made anew)."""
-    if n > 1 << 23:
+    if n > _KEPT_POWERS:
         return _powers(n, _FACTOR), _powers(n, np.uint64(pow(int(_FACTOR), -1, 1 << 64)))
     if not _CACHE or len(_CACHE["up"]) < n:
         size = ((n >> 18) + 1) << 18
@@ -214,10 +217,11 @@ def no_spaces(text: Column) -> Column:
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package as a zip file, once a session; they need not have it installed.
 
-    Rows are whole texts, so Arrow batches are held to ``BATCH_ROWS`` of them, which bounds
-    the memory of the workers and the executors' memory outside the heap.
+    Rows are whole texts or packed arrays, so Arrow batches are held to ``BATCH_ROWS`` of them and
+    ``BATCH_BYTES``, which bounds the memory of the workers and the executors' memory outside the heap.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     name = "cdcmart_llm.zip"
     if any(f.endswith(name) for f in sc.listFiles):
