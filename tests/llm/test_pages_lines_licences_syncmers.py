@@ -1,6 +1,8 @@
 import hashlib
 import random
 import struct
+from collections import Counter, defaultdict
+
 import xxhash
 
 from cdcmart.llm import license_scan, site_style_tree, syncmers, template_lines
@@ -206,3 +208,68 @@ def test_leading_tokens_alone_make_no_template(documents, words):
     got = template_lines.deduplicate(documents(rows)).collect()
     assert len(set(names)) > 30 and {r.n_dropped for r in got} == {1}
     assert all(r.text.startswith("from typing import ") and "How to make" in r.text and "See page" not in r.text for r in got)
+
+
+def tree_templates(leaf, min_docs=template_lines.MIN_DOCS):
+    """Template of each line of one leaf by definition: {tokens: lines that hold them} to {tokens: number of a template}."""
+    out, depth = {}, template_lines.DEPTH
+
+    def node(lines, before):
+        total = sum(lines.values())
+        if total < min_docs:
+            return
+        held = Counter()
+        for tokens, many in lines.items():
+            held.update({(at, t): many for at, t in enumerate(tokens) if at >= depth})
+        held = {k: n for k, n in held.items() if n >= template_lines.AGREE * min_docs}
+        places = sorted({at for at, _ in held})
+        top = {at: min((-n, t) for (a, t), n in held.items() if a == at) for at in places}
+        constant = {(at, t) for at, (n, t) in top.items() if -n >= template_lines.AGREE * total}
+        number, stay = len(out), {}
+        for tokens, many in lines.items():
+            mine = {(at, t) for at, t in enumerate(tokens) if at >= depth}
+            least = template_lines.SIMILAR * (len(tokens) - depth)
+            if len(mine & constant) >= least and mine & held.keys():
+                out[tokens] = number
+            elif len(mine & held.keys()) >= least:
+                stay[tokens] = many
+        if total != before:
+            return node(stay, total)
+        part = {k: n for k, n in held.items() if min_docs <= n < total}
+        if part:
+            cut = min((-sum(n for (a, _), n in part.items() if a == at), at) for at, _ in part)[1]
+            children = defaultdict(dict)
+            for tokens, many in stay.items():
+                children[tokens[cut] if (cut, tokens[cut]) in part else None][tokens] = many
+            for child in children.values():
+                node(child, None)
+
+    node(leaf, None)
+    return out
+
+
+def test_two_templates_of_a_leaf_are_both_dropped_whatever_else_is_in_it(documents, words):
+    names = [words(1, 900 + i) for i in range(30)]
+    rows = [(i, f"Sent by the forum of {names[i]} for all members today\n{words(9, i)}", "s") for i in range(30)]
+    rows += [(100 + i, f"Sent by the editors and {names[i]} with many kind regards\n{words(9, 200 + i)}", "s") for i in range(30)]
+    prose = [(1000 + i, f"Sent by the {words(8, 3000 + i)}", "s") for i in range(300)]
+    for more in ([], prose):
+        got = {r.doc_id: r for r in template_lines.deduplicate(documents(rows + more)).collect()}
+        assert {got[i].n_dropped for i, _, _ in rows} == {1} and {got[i].n_dropped for i, _, _ in more} <= {0}
+
+
+def test_dropped_lines_equal_a_tree_by_definition(documents):
+    rng, rows = random.Random(8), []
+    forms = [[rng.choice("abcdef") + str.lower(rng.choice("XYZ")) for _ in range(6)] for _ in range(9)]
+    for i in range(260):
+        form = list(rng.choice(forms))
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5))):
+            form[rng.randrange(6)] = rng.choice(["ann", "bob", "cy", "di"]) if rng.random() < 0.5 else "w" + "".join(rng.choices("ghijk", k=6))
+        rows.append((i, " ".join(["the", "same", "start", *form]) + f"\nown {'x' * (i + 1)}", "s"))
+    leaf = Counter(tuple(t.split("\n")[0].split(" ")) for _, t, _ in rows)
+    template = tree_templates(leaf)
+    of = {i: template.get(tuple(t.split("\n")[0].split(" ")), t.split("\n")[0]) for i, t, _ in rows}
+    docs = Counter(of.values())
+    want = {i: int(docs[of[i]] >= template_lines.MIN_DOCS) for i in of}
+    got = {r.doc_id: r.n_dropped for r in template_lines.deduplicate(documents(rows)).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want) and len(set(template.values())) > 2
