@@ -8,7 +8,8 @@ what is left of a group is cut into powers of two, which need no padding.
 
 Token ids come from the named tokenizer file. Runs of letters, of digits and of
 other signs are tokenized once per worker (its own cut of a text) and looked up
-afterwards; anything unusual goes to the tokenizer as it is.
+afterwards, all different ones of some MB of text at once; anything unusual goes to
+the tokenizer as it is. What a worker remembers is bounded in bytes.
 
 Defined cases: null text is empty and has the end id alone; repeated rows are packed
 once each; a piece never crosses documents; further columns are ignored. The result
@@ -21,11 +22,13 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,18 +40,57 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one task merges: at most MERGE * OPEN_WINDOWS windows.
 MERGE = 32
 END_ID = 1
-#: Runs of letters or signs, and parts between white space, that a worker remembers (some 200 bytes each): so many new ones,
-#: and as many from before that go when the new ones are full and have not been seen again.
-RUNS, PARTS = 250_000, 600_000
+#: Bytes of runs of letters or signs, and of parts between white space, that a worker remembers with their ids (some 30 bytes each).
+RUNS, PARTS = 12 << 20, 32 << 20
+#: Bytes of text whose parts are looked up at once.
+TEXTS = 4 << 20
 
 # Latin text without number signs and free accents: lower case is the same letter by letter, no form composes.
 _PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]*+")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_PARTS = re.compile(r"[^\t-\r ]+")
 
 PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, window long, at long, is_open boolean, part int, ids binary"
 
 
+class Memory:
+    """Token ids (little-endian, 4 bytes each) of strings, in Arrow arrays; new strings are learned and remembered.
+
+    When the strings and their ids take more than ``most`` bytes, those go that were asked for longest ago, half or more.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], pa.Array], most: int) -> None:
+        self.learn, self.most = learn, most
+        self.strings, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.asked, self.clock = np.empty(0, np.int64), 0
+
+    def __call__(self, strings: pa.Array) -> pa.Array:
+        """Ids of each string, repeated ones included."""
+        strings = strings.dictionary_encode()
+        at = pc.index_in(strings.dictionary, value_set=self.strings)
+        new = strings.dictionary.filter(pc.is_null(at))
+        at = np.array(pc.fill_null(at, -1))
+        if len(new):
+            at[at < 0] = np.arange(len(self.strings), len(self.strings) + len(new))
+            self.ids = pa.concat_arrays([self.ids, self.learn(new.to_pylist())])
+            self.strings = pa.concat_arrays([self.strings, new])
+            self.asked = np.concatenate([self.asked, np.zeros(len(new), np.int64)])
+        self.clock += 1
+        self.asked[at] = self.clock
+        found = self.ids.take(pa.array(at)).take(strings.indices)
+        if self.strings.nbytes + self.ids.nbytes > self.most:
+            kept = self.asked > np.median(self.asked)
+            self.strings, self.ids, self.asked = self.strings.filter(kept), self.ids.filter(kept), self.asked[kept]
+        return found
+
+
+def _joined(ids: pa.Array, counts: Iterable[int]) -> pa.Array:
+    """Neighbours joined to one entry each, so many as ``counts`` says."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(counts, np.int64))])
+    _, offsets, data = ids.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * ids.offset) if len(ids) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets[ends]), data])
+
+
 class Words:
     """Token ids (little-endian, 4 bytes each) of texts, remembering the parts between white space."""
 
@@ -60,57 +102,44 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.runs: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older_runs: dict[str, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
+        self.runs, self.parts = Memory(self._learn_runs, RUNS), Memory(self._learn_parts, PARTS)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = partial(self.tokenizer.encode_batch_fast, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 64) for e in encode(texts[at : at + 64])]
 
-    def _learn_runs(self, runs: list[str]) -> None:
+    def _learn_runs(self, runs: list[str]) -> pa.Array:
         groups = [runs[at : at + 1024] for at in range(0, len(runs), 1024)]
+        learned = []
         for some, found in zip(groups, self._direct([" ".join(g) for g in groups]), strict=True):
-            ids = np.frombuffer(found, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                ends = (4 * cuts).tolist()
-                self.runs.update(zip(some, (found[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            ends = np.flatnonzero(self.ends[np.frombuffer(found, "<u4")]) + 1
+            if len(ends) == len(some) and 4 * ends[-1] == len(found):
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                learned.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(found)]))
             else:
-                self.runs.update(zip(some, self._direct(some), strict=True))
+                learned.append(pa.array(self._direct(some), pa.binary()))
+        return pa.concat_arrays(learned)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.runs) > RUNS:
-            self.runs, self.older_runs = {}, self.runs
-        if len(self.parts) > PARTS:
-            self.parts, self.older_parts = {}, self.parts
-        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        cut = [t.lower().split() if p else _PARTS.findall(t) for t, p in zip(texts, plain, strict=True)]
-        known = self.parts.get
-        found = [list(map(known, c)) for c in cut]
-        some = [i for i, f in enumerate(found) if None in f]
-        for kind in (True, False):
-            self._learn({w for i in some if plain[i] is kind for w, f in zip(cut[i], found[i], strict=True) if f is None}, kind)
-        for i in some:
-            found[i] = [known(w) if f is None else f for w, f in zip(cut[i], found[i], strict=True)]
-        return [b"".join(f) for f in found]
-
-    @staticmethod
-    def _unknown(wanted: set[str], known: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
-        """What neither holds; what only the older one holds is taken over."""
-        known.update((w, older[w]) for w in wanted.intersection(older))
-        return list(wanted.difference(known))
-
-    def _learn(self, parts: set[str], plain: bool) -> None:
+    def _learn_parts(self, parts: list[str]) -> pa.Array:
         """Plain parts are put together from their runs; parts with other signs go to the tokenizer as they are."""
-        new = self._unknown(parts, self.parts, self.older_parts)
-        if plain:
-            split = [[p] if p.isascii() and p.isalpha() else _RUNS.findall(p) for p in new]
-            self._learn_runs(self._unknown(set(chain.from_iterable(split)).difference(self.runs), self.runs, self.older_runs))
-            known = self.runs.__getitem__
-            self.parts.update((p, known(s[0]) if len(s) == 1 else b"".join(map(known, s))) for p, s in zip(new, split, strict=True))
-        else:
-            self.parts.update(zip(new, self._direct(new), strict=True))
+        plain = np.array([_PLAIN.fullmatch(p) is not None and "<|" not in p for p in parts])
+        known = pa.array([], pa.binary())
+        if plain.any():
+            lower = [p.lower() for p, is_plain in zip(parts, plain.tolist(), strict=True) if is_plain]
+            split = [[p] if p.isascii() and p.isalpha() else _RUNS.findall(p) for p in lower]
+            known = _joined(self.runs(pa.array(chain.from_iterable(split), pa.string())), map(len, split))
+        if plain.all():
+            return known
+        others = pa.array(self._direct([p for p, is_plain in zip(parts, plain.tolist(), strict=True) if not is_plain]), pa.binary())
+        places = np.where(plain, np.cumsum(plain) - 1, len(known) + np.cumsum(~plain) - 1)
+        return pa.concat_arrays([known, others]).take(pa.array(places))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        lower = [t.lower() if _PLAIN.fullmatch(t) else t for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array(lower, pa.string()))
+        found = _joined(self.parts(cut.flatten()), np.diff(np.asarray(cut.offsets))).to_pylist()
+        pa.default_memory_pool().release_unused()  # else the workers of an executor hold several times what they use
+        return found
 
 
 _WORDS: dict[str, Words] = {}
@@ -190,6 +219,18 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones put together to ``TEXTS`` bytes or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TEXTS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _merge(window: int, most: int):
     """Leftover windows of a group of partitions, packed again; the end is cut into powers of two."""
 
@@ -228,10 +269,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, part, kind = Packer(window, open_windows), TaskContext.get().partitionId(), None
-        for batch in batches:
+        for batch in _gathered(batches):
             ids_of, texts = batch.column("doc_id"), batch.column("text")
             kind = ids_of.type
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, TEXTS):
                 some = texts.slice(start, stop - start).fill_null("").to_pylist()
                 done = []
                 for doc, ids in zip(ids_of.slice(start, stop - start).to_pylist(), tokenized(tokenizer_path, some), strict=True):

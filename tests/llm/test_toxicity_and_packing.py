@@ -182,3 +182,18 @@ def test_whole_words_count_in_every_script(spark, documents, words):
     got = toxicity.report(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
     assert {i // 4 % 4 for i in (r.doc_id for r in got) if i % 4 == 0} == {0, 1, 2, 3}
     assert [r.doc_id for r in got if r.predicted != (r.doc_id % 4 == 0)] == []
+
+
+def test_remembered_words_are_bounded_in_bytes(monkeypatch, words):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "RUNS", 20_000)
+    monkeypatch.setattr(packing, "PARTS", 30_000)
+    tokenizer, remembered = Tokenizer.from_file(PATH), packing.Words(PATH)
+    rng, common = random.Random(3), "Common, words stay. "
+    for i in range(12):
+        texts = [common + " ".join("".join(rng.choices("abcdeé1-'", k=9)) for _ in range(20)) for _ in range(10)] + ["", " ", words(30, i), "İı x² <|endoftext|> Σας"]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in remembered(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for memory, most in ((remembered.runs, 20_000), (remembered.parts, 30_000)):
+            assert memory.strings.nbytes + memory.ids.nbytes <= most and len(memory.strings) == len(memory.ids) == len(memory.asked)
+    assert "common," in remembered.parts.strings.to_pylist()
