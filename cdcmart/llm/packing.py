@@ -7,9 +7,9 @@ end of a partition are leftovers: groups of ``MERGE`` partitions merge theirs, a
 what is left of a group is cut into powers of two, which need no padding.
 
 Token ids come from the named tokenizer file. Runs of letters, of digits and of
-other signs are tokenized once per worker (its own cut of a text) and looked up
+other signs are tokenized once per task (its own cut of a text) and looked up
 afterwards, all different ones of some MB of text at once; anything unusual goes to
-the tokenizer as it is. What a worker remembers is bounded in bytes.
+the tokenizer as it is. What a task remembers is bounded in bytes and goes at its end.
 
 Defined cases: null text is empty and has the end id alone; repeated rows are packed
 once each; a piece never crosses documents; further columns are ignored. The result
@@ -40,7 +40,7 @@ OPEN_WINDOWS = 16
 #: Partitions whose leftovers one task merges: at most MERGE * OPEN_WINDOWS windows.
 MERGE = 32
 END_ID = 1
-#: Bytes of runs of letters or signs, and of parts between white space, that a worker remembers with their ids (some 30 bytes each).
+#: Bytes of runs of letters or signs, and of parts between white space, that a task remembers with their ids (some 30 bytes each).
 RUNS, PARTS = 12 << 20, 32 << 20
 #: Bytes of text whose parts are looked up at once.
 TEXTS = 4 << 20
@@ -102,6 +102,9 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.runs, self.parts = Memory(self._learn_runs, RUNS), Memory(self._learn_parts, PARTS)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -151,6 +154,13 @@ def tokenized(path: str, texts: list[str]) -> list[bytes]:
     return _WORDS[path](texts)
 
 
+def forget(path: str) -> None:
+    """Leave a worker that other stages use next with the tokenizer alone."""
+    if path in _WORDS:
+        _WORDS[path].forget()
+        pa.default_memory_pool().release_unused()
+
+
 class Packer:
     """Open windows of one partition; a piece is (document, start, its ids, tokens of the document)."""
 
@@ -281,6 +291,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
                     yield _batch(list(_rows(iter(done), False, part)), kind)
         if kind is not None:
             yield _batch(list(_rows(packer.rest(), True, part)), kind)
+        forget(tokenizer_path)
 
     schema = PIECE.format(kind=docs.schema["doc_id"].dataType.simpleString())
     placed = checkpointed(docs.select("doc_id", "text").mapInArrow(place, schema))

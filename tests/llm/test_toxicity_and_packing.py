@@ -197,3 +197,5 @@ def test_remembered_words_are_bounded_in_bytes(monkeypatch, words):
         for memory, most in ((remembered.runs, 20_000), (remembered.parts, 30_000)):
             assert memory.strings.nbytes + memory.ids.nbytes <= most and len(memory.strings) == len(memory.ids) == len(memory.asked)
     assert "common," in remembered.parts.strings.to_pylist()
+    remembered.forget()
+    assert not len(remembered.parts.strings) and not len(remembered.runs.strings)
