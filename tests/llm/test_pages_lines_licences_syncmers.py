@@ -273,3 +273,34 @@ def test_dropped_lines_equal_a_tree_by_definition(documents):
     want = {i: int(docs[of[i]] >= template_lines.MIN_DOCS) for i in of}
     got = {r.doc_id: r.n_dropped for r in template_lines.deduplicate(documents(rows)).collect()}
     assert got == want and 0 < sum(want.values()) < len(want) and len(set(template.values())) > 2
+
+
+def test_rounds_build_no_table_on_the_driver(documents, words, monkeypatch):
+    plans, keep = [], template_lines.checkpointed
+
+    def checkpointed(df):
+        out = keep(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    rows = [(i, f"Sent by the forum of {words(1, i)} for all members\nSent by the {words(6, 500 + i)} today", "s") for i in range(30)]
+    monkeypatch.setattr(template_lines, "checkpointed", checkpointed)
+    before = template_lines._round
+    rounds = []
+
+    def a_round(*args):
+        start = len(plans)
+        out = before(*args)
+        rounds.append(start)
+        return out
+
+    monkeypatch.setattr(template_lines, "_round", a_round)
+    got = template_lines.deduplicate(documents(rows))
+    assert {r.n_dropped for r in got.collect()} == {1}
+    # a round checkpoints its counted tokens, then what becomes of its lines
+    of_rounds = [plan for start in rounds for plan in plans[start : start + 2]]
+    assert of_rounds and not any("BroadcastExchange" in plan for plan in of_rounds)
+    assert all("isFinalPlan=true" in plan and "SortMergeJoin" in plan for plan in of_rounds)
+    # the words of the changed documents are sent once for both parts of the result
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
