@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import xxhash
 
-from cdcmart.llm import license_scan, site_style_tree, syncmers, template_lines
+from cdcmart.llm import common, license_scan, site_style_tree, syncmers, template_lines
 from conftest_llm import odd_rows
 
 
@@ -304,3 +304,26 @@ def test_rounds_build_no_table_on_the_driver(documents, words, monkeypatch):
     # the words of the changed documents are sent once for both parts of the result
     final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
+
+
+def test_a_node_that_keeps_its_lines_is_split_at_once(documents, words, monkeypatch):
+    rounds, before = [], template_lines._round
+    monkeypatch.setattr(template_lines, "_round", lambda *args: rounds.append(1) or before(*args))
+    # two templates that share no token, neither with half of the lines: split, then each is found
+    rows = [(i, f"Sent by the {form} {words(1, 50 + i)}", "s") for k, form in enumerate(("forum of our town", "editors and their friends", "x y z u")) for i in range(100 * k, 100 * k + 12)]
+    got = template_lines.deduplicate(documents(rows)).collect()
+    assert {r.n_dropped for r in got} == {1} and len(rounds) == 2
+
+
+def test_a_split_by_bitmaps_sends_few_rows_to_the_driver(spark, documents, monkeypatch):
+    documents([])
+    sent, keep = [], common.checkpointed
+    monkeypatch.setattr(common, "checkpointed", lambda df: sent.append(keep(df)) or sent[-1])
+    rows = spark.range(20_000).selectExpr("if(id % 1000 = 7, null, id) AS k", "id")
+    keys = spark.range(0, 20_000, 4).selectExpr("id AS m").union(spark.range(1).selectExpr("cast(null AS bigint)"))
+    changed, same = (x.collect() for x in common.maybe_split(rows, keys, "k", "m"))
+    assert sorted(r.id for r in [*changed, *same]) == list(range(20_000))
+    assert not [r for r in same if r.k is not None and r.k % 4 == 0] and len(changed) < 5000 + 1500
+    assert sum(len(r._bits) for x in sent for r in x.collect()) <= 4 * 5001 * 16 / 8
+    none, all_rows = common.maybe_split(rows, keys.where("false"), "k", "m")
+    assert none.count() == 0 and all_rows.count() == 20_000
