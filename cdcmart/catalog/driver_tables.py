@@ -18,6 +18,7 @@ from cdcmart.functions.columns import query_shape
 from cdcmart.functions.derive import derive
 from cdcmart.operators.changelog import running_total
 from cdcmart.sources.envelope import encode_envelope
+from cdcmart.sources.readers import files_below
 from cdcmart.sources.schemas import TABLES
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -86,6 +87,14 @@ class DriverTables(Mapping[str, DataFrame]):
             lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"),
         )
 
+    def arriving(self, folder: str) -> DriverTables:
+        """The same tables as streams, of which a batch reads some files of a given table.
+
+        A table given in fewer files is cut into some below ``folder`` first, so that it arrives in several batches;
+        how large a batch is follows from the table, not from the number of its files.
+        """
+        return _Arriving(self.spark, self.sf_dir, folder)
+
     # -- given tables with the attributes the rules below use ------------------
 
     def events(self) -> DataFrame:
@@ -500,3 +509,30 @@ class DriverTables(Mapping[str, DataFrame]):
                 F.sum("memory").alias("blks_read"),
             )
         )
+
+
+class _Arriving(DriverTables):
+    #: A table is read in so many batches at most.
+    BATCHES = 8
+    #: Bytes of a batch for each core, unless these would be more than half of the table.
+    CORE_BYTES = 16 << 20
+    #: A table of fewer files than this is cut into files of so many rows at most, two for each core.
+    FILES, ROWS = 4, 4_000_000
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        super().__init__(spark, sf_dir)
+        self.folder = folder
+
+    def given(self, name: str) -> DataFrame:
+        return self._once(f"given {name}", lambda: self._stream(name))
+
+    def _stream(self, name: str) -> DataFrame:
+        path, cores = f"{self.sf_dir}/{name}.parquet", self.spark.sparkContext.defaultParallelism
+        whole = self.spark.read.parquet(path)
+        if len(whole.inputFiles()) < self.FILES:
+            path = f"{self.folder}/{name}"
+            rows = min(self.ROWS, max(1, -(-whole.count() // (2 * cores))))
+            whole.write.option("maxRecordsPerFile", rows).parquet(path)
+        files, size = files_below(self.spark, path)
+        per_batch = max(-(-files // self.BATCHES), min(-(-cores * self.CORE_BYTES * files // max(size, 1)), files // 2), 1)
+        return self.spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", per_batch).parquet(path)

@@ -541,15 +541,9 @@ def _(t):
 
 def run_stream(t: DriverTables, table: str, aggregates: tuple[str, ...] = ()) -> ingest.Layout:
     """Send a table's messages through the streaming ingest in several batches."""
-    root = shared_folder(t.spark, f"stream-{table}")
-    layout = ingest.Layout(root)
-    t.wire(table).repartition(4).write.text(f"{root}/messages")
-    query = ingest.start_ingest(
-        readers.read_change_files(t.spark, f"{root}/messages", files_per_batch=2),
-        ingest.Ingest(table, aggregates),
-        layout,
-        {"availableNow": True},
-    )
+    layout = ingest.Layout(shared_folder(t.spark, f"stream-{table}"))
+    messages = t.arriving(f"{layout.root}/given").wire(table)
+    query = ingest.start_ingest(messages, ingest.Ingest(table, aggregates), layout, {"availableNow": True})
     query.awaitTermination()
     return layout
 
@@ -580,8 +574,7 @@ def _(t):
     """Deviations find their patients in a snapshot of the enrolments, which were there before."""
     layout = ingest.Layout(shared_folder(t.spark, "stream-by-patient"))
     ingest.load(t.spark, layout, "protocol_instances", t["protocol_instances"])
-    t.wire("deviations").repartition(4).write.text(f"{layout.root}/messages")
-    messages = readers.read_change_files(t.spark, f"{layout.root}/messages", files_per_batch=2)
+    messages = t.arriving(f"{layout.root}/given").wire("deviations")
     query = ingest.start_ingest(messages, ingest.Ingest("deviations", (ingest.BY_PATIENT,)), layout, {"availableNow": True})
     query.awaitTermination()
     return ingest.read_aggregate(t.spark, ingest.BY_PATIENT, layout)

@@ -111,6 +111,18 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def files_below(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and bytes of the Parquet files of a table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    sizes = []
+    while listed.hasNext():
+        status = listed.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            sizes.append(status.getLen())
+    return len(sizes), sum(sizes)
+
+
 def date_series(spark: SparkSession, first: date | str, last: date | str) -> DataFrame:
     """One row per calendar day, both ends included."""
     return spark.range(1).select(

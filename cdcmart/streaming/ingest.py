@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -88,10 +88,16 @@ def state_schema(spark: SparkSession, name: str) -> T.StructType:
 # -- stored tables under the commit log -------------------------------------------
 
 
+def stored_rows(spark: SparkSession, layout: Layout, table: str, folders: Sequence[str]) -> DataFrame:
+    """The change rows in some folders of a changelog."""
+    return read_folders(spark, layout.changelog(table), folders, f"{TABLES[table].stored_ddl()}, month int, batch_id string").drop("month", "batch_id")
+
+
 def load(spark: SparkSession, layout: Layout, table: str, rows: DataFrame) -> str:
     """Store change rows as a load of its own; readers see all of it or nothing."""
     batch = sinks.new_batch("load")
-    sinks.write_changelog(rows, layout.changelog(table), table, batch)
+    with sinks.shuffles_cleared(spark):
+        sinks.write_changelog(rows, layout.changelog(table), table, batch)
     layout.log(spark).commit({f"changelog/{table}": folders_of(spark, layout.changelog(table), batch)})
     return batch
 
@@ -124,7 +130,7 @@ def read_log(
         return not spec.month_column or month == 197001 or low <= month <= high
 
     folders = [f for f in layout.log(spark).folders(f"changelog/{table}") if wanted(f)]
-    rows = read_folders(spark, layout.changelog(table), folders, f"{spec.stored_ddl()}, month int, batch_id string").drop("month", "batch_id")
+    rows = stored_rows(spark, layout, table, folders)
     return sinks.apply_retention(rows, RETAINED_TABLES[table], as_of) if retained else rows
 
 
@@ -204,7 +210,7 @@ def compact(spark: SparkSession, layout: Layout, table: str, month: int, before_
     folders = [f for f in log.folders(name) if f.startswith(f"month={month}/")]
     if len(folders) < 2:
         return []
-    rows = read_folders(spark, path, folders, f"{TABLES[table].stored_ddl()}, month int, batch_id string").drop("month", "batch_id")
+    rows = stored_rows(spark, layout, table, folders)
     batch = sinks.new_batch("merged")
     sinks.write_changelog(latest_by_version(rows, TABLES[table].keys, deleted=None), path, table, batch)
     if before_commit:
@@ -249,11 +255,11 @@ def rebuild(spark: SparkSession, layout: Layout, snapshot: Mapping[str, DataFram
     for table, rows in snapshot.items():
         sinks.write_changelog(rows, layout.changelog(table), table, batch)
         outputs.append(f"changelog/{table}")
-        stored = read_folders(spark, layout.changelog(table), folders_of(spark, layout.changelog(table), batch), f"{TABLES[table].stored_ddl()}, month int, batch_id string")
+        stored = stored_rows(spark, layout, table, folders_of(spark, layout.changelog(table), batch))
         for name in Ingest.everything(table).aggregates:
             enrolments = snapshot.get("protocol_instances")
             enrolments = read_log(spark, layout, "protocol_instances") if enrolments is None else enrolments
-            states = _states(name, stored.drop("month", "batch_id"), latest_by_version(enrolments) if name == BY_PATIENT else None)
+            states = _states(name, stored, latest_by_version(enrolments) if name == BY_PATIENT else None)
             sinks.write_partials(states, layout.partials(name), batch)
             outputs.append(f"partials/{name}")
     if before_commit:
@@ -281,17 +287,19 @@ def process_batch(batch: DataFrame, batch_id: int, ingest: Ingest, layout: Layou
     if log.done(run, batch_id):
         return
     attempt = f"{run}-{batch_id}-{uuid.uuid4().hex[:8]}"
-    parsed = parse_envelope(batch.withColumn(ARRIVAL, sinks.arrival_of(batch)), ingest.table).persist()
-    # Kept as well: the changelog and each aggregate need the same parsed bodies.
-    changes = derive(typed_changes(parsed, ingest.table, keep=(ARRIVAL,)), ingest.table).persist()
-    try:
-        sinks.write_partials(dead_letters(parsed).drop(ARRIVAL), layout.dead(ingest.table), attempt)
-        sinks.write_changelog(changes, layout.changelog(ingest.table), ingest.table, attempt)
+    parsed = parse_envelope(batch.withColumn(ARRIVAL, sinks.arrival_of(batch)), ingest.table)
+    # Nothing is kept in memory: the changelog is written from the messages, the aggregates from the columns they
+    # need of it. A batch without a bad message, which the first write tells, is not parsed a second time.
+    bad = Observation()
+    read = parsed.select("_op", "_row", "_lsn", "_problem", ARRIVAL).observe(bad, F.count("_problem").alias("messages"))
+    path = layout.changelog(ingest.table)
+    with sinks.shuffles_cleared(spark):
+        sinks.write_changelog(derive(typed_changes(read, ingest.table, keep=(ARRIVAL,)), ingest.table), path, ingest.table, attempt)
+        if sinks.observed(bad, "messages") != 0:
+            sinks.write_partials(dead_letters(parsed).drop(ARRIVAL), layout.dead(ingest.table), attempt)
+        changes = stored_rows(spark, layout, ingest.table, folders_of(spark, path, attempt))
         for name in ingest.aggregates:
             sinks.write_partials(batch_states(spark, name, changes, layout), layout.partials(name), attempt)
-    finally:
-        changes.unpersist()
-        parsed.unpersist()
     outputs = [f"dead_letters/{ingest.table}", f"changelog/{ingest.table}", *(f"partials/{n}" for n in ingest.aggregates)]
     log.commit({t: folders_of(spark, f"{layout.root}/{t}", attempt) for t in outputs}, run=run, batch=batch_id)
 
