@@ -72,18 +72,16 @@ def renew(spark: SparkSession, layout: Layout, dimension: Dimension, now: float
     arrived = log.added_since(0 if fresh else note["entry"], f"changelog/{dimension.table}")
     changes = read_folders(spark, layout.changelog(dimension.table), arrived, f"{spec.stored_ddl()}, month int, batch_id string")
     newest = latest_by_version(changes, keys, deleted=None)
-    newest = newest.select(*keys, *dimension.attributes, version_order(newest, VERSION).alias("_order"), F.col(DELETED).alias("_gone")).withColumn("bucket", dimension.bucket()).persist()
+    newest = newest.select(*keys, *dimension.attributes, version_order(newest, VERSION).alias("_order"), F.col(DELETED).alias("_gone")).withColumn("bucket", dimension.bucket())
     batch = sinks.new_batch("snapshot")
-    try:
-        touched = {f"bucket={r.bucket}" for r in newest.select("bucket").distinct().collect()}
+    with sinks.shuffles_cleared(spark):
         live = state.live.get(dimension.folder, [])
+        touched = set() if fresh else {f"bucket={r.bucket}" for r in changes.select(dimension.bucket().alias("bucket")).distinct().collect()}
         replaced = live if fresh else [f for f in live if f.split("/")[0] in touched]
         before = read_folders(spark, path, [] if fresh else replaced, dimension.ddl()).drop("batch_id")
-        rows = latest_by_version(before.unionByName(newest), keys, "_order", deleted=None)
+        rows = newest if fresh else latest_by_version(before.unionByName(newest), keys, "_order", deleted=None)
         placed = rows.withColumn("batch_id", F.lit(batch)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *keys)
-        placed.write.mode("append").partitionBy("bucket", "batch_id").parquet(path)
-    finally:
-        newest.unpersist()
+        placed.write.mode("append").option("compression", sinks.COMPRESSION).partitionBy("bucket", "batch_id").parquet(path)
     try:
         log.commit(
             {dimension.folder: folders_of(spark, path, batch)},

@@ -35,7 +35,7 @@ def deviations(spark, first, count, bad=0):
 
 
 def test_a_batch_is_kept_nowhere_and_read_once_if_all_is_well(spark, layout, nothing_kept, monkeypatch):
-    names = ("mv_deviation_trends", "mv_deviation_by_protocol")
+    names = ("mv_deviation_trends", ingest.BY_PATIENT)
     enrolments = change_table(spark, "protocol_instances", *[{"id": uid(n), "patient_id": f"P{n}", "enrolled_at": at("2024-01-01T00:00:00")} for n in range(3)])
     ingest.load(spark, layout, "protocol_instances", enrolments)
     written, real = [], sinks.write_partials
