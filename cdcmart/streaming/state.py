@@ -66,16 +66,19 @@ def upsert(spark: SparkSession, layout: Layout, kept: Kept, changes: DataFrame,
     rows_path, index_path = f"{layout.root}/{kept.rows}", f"{layout.root}/{kept.index}"
     bucket = F.pmod(F.xxhash64(*keys), F.lit(kept.buckets)).cast("int")
     day = F.coalesce(F.to_date(kept.timestamp), F.lit(NO_DAY))
-    newest = latest_by_version(changes, keys, deleted=None)
-    newest = newest.withColumns({"_order": version_order(newest, VERSION), "day": day, "bucket": bucket}).persist()
     batch = sinks.new_batch("upsert")
-    try:
-        touched = {f"bucket={r.bucket}" for r in newest.select("bucket").distinct().collect()}
+    staged = f"{layout.root}/current_staged/{kept.table}-{batch}"
+    with sinks.shuffles_cleared(spark):
+        touched = {f"bucket={r.bucket}" for r in changes.select(bucket.alias("bucket")).distinct().collect()}
         index_folders = [f for f in live.get(kept.index, []) if f.split("/")[0] in touched]
         index = read_folders(spark, index_path, index_folders, kept.index_ddl()).drop("batch_id", "bucket")
-        placed = newest.join(index, keys, "left")
-        winners = placed.where(F.col("_kept_order").isNull() | (F.col("_order") > F.col("_kept_order"))).persist()
+        newest = latest_by_version(changes, keys, deleted=None)
+        newest = newest.withColumns({"_order": version_order(newest, VERSION), "day": day})
+        winners = newest.join(index, keys, "left").where(F.col("_kept_order").isNull() | (F.col("_order") > F.col("_kept_order")))
         try:
+            # read four times below: as a compressed table beside the state, nothing of it is kept in memory
+            winners.write.option("compression", sinks.COMPRESSION).parquet(staged)
+            winners = spark.read.schema(winners.schema).parquet(staged)
             left = winners.where("NOT _kept_gone").select(F.col("_kept_day").alias("day"))
             days = {f"day={r.day}" for r in left.union(winners.where(~F.col(DELETED)).select("day")).distinct().collect()}
             day_folders = [f for f in live.get(kept.rows, []) if f.split("/")[0] in days]
@@ -86,9 +89,7 @@ def upsert(spark: SparkSession, layout: Layout, kept: Kept, changes: DataFrame,
             entries = winners.select(*keys, F.col("day").alias("_kept_day"), F.col("_order").alias("_kept_order"), F.col(DELETED).alias("_kept_gone"))
             _write(index.join(changed, keys, "left_anti").unionByName(entries).withColumn("bucket", bucket), index_path, batch, "bucket", keys)
         finally:
-            winners.unpersist()
-    finally:
-        newest.unpersist()
+            sinks.delete(spark, staged)
     if before_commit:
         before_commit()
     log.commit(
@@ -100,7 +101,7 @@ def upsert(spark: SparkSession, layout: Layout, kept: Kept, changes: DataFrame,
 
 def _write(rows: DataFrame, path: str, batch: str, by: str, keys: list[str]) -> None:
     placed = rows.withColumn("batch_id", F.lit(batch)).hint("rebalance", by).sortWithinPartitions(by, *keys)
-    placed.write.mode("append").partitionBy(by, "batch_id").parquet(path)
+    placed.write.mode("append").option("compression", sinks.COMPRESSION).partitionBy(by, "batch_id").parquet(path)
 
 
 def read_current(spark: SparkSession, layout: Layout, kept: Kept, since: datetime | date | None = None, until: datetime | date | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Jobs whose memory and disk must not follow the size of a batch."""
 
 import os
+from datetime import date
 
 import pytest
 
@@ -9,7 +10,7 @@ from cdcmart.catalog.queries import run_stream
 from cdcmart.operators.changelog import current
 from cdcmart.plans import marts, rollups
 from cdcmart.session import shared_folder
-from cdcmart.streaming import ingest, sinks
+from cdcmart.streaming import ingest, sinks, state
 from helpers import as_set, at, change_table, message, messages, uid
 
 
@@ -58,6 +59,19 @@ def test_an_unknown_count_of_bad_messages_is_no_zero(spark, layout, monkeypatch)
     assert spark.read.parquet(layout.dead("deviations")).count() == 1 and ingest.read_log(spark, layout, "deviations").count() == 3
 
 
+def test_an_upsert_keeps_nothing_in_memory_or_beside_the_state(spark, layout, nothing_kept):
+    kept = state.Kept("inbound_event_logs", "event_time", buckets=3)
+    rows = lambda status, days: change_table(spark, "inbound_event_logs", *[{"id": uid(n), "status": status, "received_at": at("2024-01-01T00:00:00"), "event_time": at(f"2024-01-0{1 + n % days}T00:00:00")} for n in range(8)])
+    state.upsert(spark, layout, kept, rows("RECEIVED", 2))
+    later = rows("ACCEPTED", 3).selectExpr("* EXCEPT (_version)", "_version + 10 AS _version")
+    state.upsert(spark, layout, kept, later.union(later.limit(2)))
+    found = state.read_current(spark, layout, kept)
+    assert {(r.id, r.status) for r in found.collect()} == {(uid(n), "ACCEPTED") for n in range(8)} and found.count() == 8
+    assert state.read_current(spark, layout, kept, until=date(2024, 1, 1)).count() == 3
+    staged = f"{layout.root}/current_staged".removeprefix("file:")
+    assert not os.path.isdir(staged) or os.listdir(staged) == []
+
+
 LINES = """SELECT cast(id % 40 AS bigint) AS l_orderkey, cast(id % 7 AS bigint) AS l_partkey, cast(id % 11 AS bigint) AS l_suppkey, cast(id % 5 + 1 AS int) AS l_linenumber,
     cast(id % 9 AS double) / 100 AS l_tax, array('N', 'R', 'A')[cast(id % 3 AS int)] AS l_returnflag, if(id % 2 = 0, 'O', 'F') AS l_linestatus,
     date_add(DATE '1998-01-01', cast(id % 90 AS int)) AS l_shipdate FROM range(600)"""
